@@ -1 +1 @@
-
+"""Named queries over the driver's tables, with the SQL each is compared to."""

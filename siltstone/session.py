@@ -79,14 +79,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
     _OWNED.append((spark, path))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
 
 
 def unstage(df: DataFrame) -> None:
     """Drop the files of a staged table that no later step reads."""
     for spark, path in list(_OWNED):
-        if any(path in f for f in df.inputFiles()[:1]):
+        if path == getattr(df, "_staged_path", None):
             _drop(spark, path)
             _OWNED.remove((spark, path))
-
-
