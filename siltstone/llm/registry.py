@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from siltstone.llm import chunking, tokenizer
+from siltstone.llm import chunking, neardup, packing, survivor, tokenizer
 
-MODULES = [chunking, tokenizer]
+MODULES = [chunking, neardup, survivor, tokenizer, packing]
