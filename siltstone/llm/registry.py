@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from siltstone.llm import chunking, neardup, packing, survivor, tokenizer
+from siltstone.llm import chunking, neardup, packing, survivor, syntax, tokenizer
 
-MODULES = [chunking, neardup, survivor, tokenizer, packing]
+MODULES = [chunking, syntax, neardup, survivor, syntax, tokenizer, packing]
