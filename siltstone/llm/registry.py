@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from siltstone.llm import chunking, neardup, packing, provenance, secrets, survivor, syntax, tokenizer
+from siltstone.llm import abuse, chunking, neardup, packing, provenance, secrets, survivor, syntax, tokenizer
 
-MODULES = [chunking, syntax, provenance, neardup, survivor, syntax, tokenizer, packing]
+MODULES = [chunking, syntax, provenance, neardup, survivor, secrets, tokenizer, packing, abuse]
