@@ -1,5 +1,5 @@
 """The query modules of the core."""
 
-from siltstone.plans import requests
+from siltstone.plans import graphs, requests, texts
 
-MODULES = [requests]
+MODULES = [graphs, texts, requests]
