@@ -24,7 +24,7 @@ TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 #: Distinct pre-tokens a worker remembers; past that it starts afresh.
 CACHE_ENTRIES = 400_000
 # Unicode White_Space, as a character class.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TAIL = rf"[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 _CLITIC = r"'(?:[sdmt]|ll|ve|re)"
 _INF = 1 << 62
