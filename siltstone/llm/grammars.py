@@ -73,7 +73,7 @@ bare = decl | 'return' exprs? | 'throw' exprs | ('break' | 'continue') ID? | 'de
 full = block | fun | classy | 'if' '(' exprs ')' body (NL* 'else' body)? | 'while' '(' exprs ')' body
   | 'for' 'await'? '(' (decl_for | exprs)? (('of' | 'in') exprs | ';' exprs? ';' exprs?) ')' body
   | 'try' block ('catch' ('(' binding type_of? ')')? block ('finally' block)? | 'finally' block)
-  | 'switch' '(' exprs ')' '{' NL* (('case' exprs | 'default') ':' stmts)* '}'
+  | 'switch' '(' exprs ')' '{' NL* (('case' exprs | 'default') ':' stmts_in)* '}'
   | ID ':' stmt | 'export' 'default'? (fun | classy $EXPORTED) | 'do' body NL* 'while' '(' exprs ')' $FULL ;
 body = NL* (stmt | bare | ';') ;
 decl_for = ('const' | 'let' | 'var') binding type_of? ('=' asg)? (',' binding type_of? ('=' asg)?)* ;
@@ -120,8 +120,8 @@ _JS_FILL = {
 }
 _JS_TYPES = "type_of = NEVER ; gens = NEVER ; result = NEVER ; gens_call = NEVER ;"
 _TS_FILL = {
-    "BARE": "| 'type' ID gens? '=' type_x | 'declare' (decl | 'function' ID gens? '(' params? ')' result?) | 'export' 'type' (ID gens? '=' type_x | braces ('from' STR)?) | 'export'? 'import' ID '=' asg | 'export' '=' asg",
-    "FULL": "| 'export'? 'declare'? ('interface' ID gens? ('extends' type_x (',' type_x)*)? obj_type | 'const'? 'enum' ID '{' NL* (name ('=' asg)? NL* (',' NL* name ('=' asg)? NL*)* ','? NL*)? '}' | ('namespace' | 'module') (ID ('.' ID)* | STR) block) | 'declare' (fun | classy) | 'async'? 'function' ID gens? '(' params? ')' result? end",
+    "BARE": "| 'export'? 'default'? 'async'? 'function' ID gens? '(' params? ')' result? | 'type' ID gens? '=' type_x | 'declare' (decl | 'function' ID gens? '(' params? ')' result?) | 'export' 'type' (ID gens? '=' type_x | braces ('from' STR)?) | 'export'? 'import' ID '=' asg | 'export' '=' asg",
+    "FULL": "| 'export'? 'declare'? ('interface' ID gens? ('extends' type_x (',' type_x)*)? obj_type | 'const'? 'enum' ID '{' NL* (name ('=' asg)? NL* (',' NL* name ('=' asg)? NL*)* ','? NL*)? '}' | ('namespace' | 'module') (ID ('.' ID)* | STR) block) | 'declare' (fun | classy)",
     "EXPORTED": "",
     "ABSTRACT": "'abstract'?",
     "IMPLEMENTS": "('<' types '>')? ('implements' type_x (',' type_x)*)?",
@@ -133,7 +133,7 @@ _TS_FILL = {
     "CAST": "| ('as' | 'satisfies') ('const' | type_x)",
     "UNARY": "| '<' type_x '>'",
     "NONNULL": "| NOT | '<' types '>' '(' args? ')'",
-    "ATOMS": "| 'declare' | 'namespace' | 'module' | 'abstract' | 'readonly' | 'is' | 'infer' | 'keyof' | 'satisfies'",
+    "ATOMS": "| 'async'? gens '(' pars ')' result? '=>' (asg | block) | 'declare' | 'namespace' | 'module' | 'abstract' | 'readonly' | 'is' | 'infer' | 'keyof' | 'satisfies'",
     "PARENS": "",
     "INDEXER": "| mod* '[' ID ':' type_x ']' type_of end",
 }
@@ -299,7 +299,7 @@ bit = ID | FN | NUM | STR | PARAM | OP | SGN | NOT | '*' | '=' | '.' | ',' | '::
 """
 
 YAML = """
-file = (SEP | doc)* ;
+file = doc? (SEP doc?)* ;
 doc = node ;
 node = map | list | scalar NL (INDENT cont DEDENT | PLAIN NL)* | flow NL | prop+ NL? node | BLOCK ;
 scalar = PLAIN | QUOTED | ALIAS ;
