@@ -84,6 +84,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return staged
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are.
+
+    For heavy map-only work on a table of one small file; a table of many
+    files is left as it is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+
+
 def unstage(df: DataFrame) -> None:
     """Drop the files of a staged table that no later step reads."""
     for spark, path in list(_OWNED):

@@ -11,7 +11,7 @@ from siltstone.functions.text import SKIP_DIRS, line_of_location
 
 def source_tree(spark: SparkSession, root: str, suffixes: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """``path, text`` of the files under ``root``; skips the usual folders, keeps listed suffixes and, with ``only`` (path), its files."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).withColumn("full", F.col("_metadata.file_path"))
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("full", F.col("_metadata.file_path"))
     path = F.regexp_replace(F.col("full"), r"^.*?" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/", "")
     rows = raw.select(path.alias("path"), F.col("value").alias("text"))
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))

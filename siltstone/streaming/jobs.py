@@ -89,17 +89,19 @@ def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 due = int(row.at.timestamp() * 1000) + DEADLINE_SECONDS * 1000
                 deadline = min(deadline, due) if deadline else due
             elif not done:
-                have.setdefault(row.agent, row.status)
+                # the earliest counts, a success before an error of the same moment
+                mine = [row.at.timestamp(), row.status != "ok", row.status]
+                have[row.agent] = min(have.get(row.agent, mine), mine)
     complete = bool(want) and set(want) <= set(have)
     emit = not done and (complete or (timed_out and bool(want)))
     if emit:
-        have |= {a: "timeout" for a in want if a not in have}
+        said = {a: v[2] for a, v in have.items()} | {a: "timeout" for a in want if a not in have}
         done = True
     state.update((json.dumps(have), json.dumps(want), deadline, done))
     if not done and deadline > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(deadline)
     if emit:
-        yield pd.DataFrame({"job_id": [key[0]], "agents": [json.dumps(have, sort_keys=True)], "complete": [complete]})
+        yield pd.DataFrame({"job_id": [key[0]], "agents": [json.dumps(said, sort_keys=True)], "complete": [complete]})
 
 
 def fan_in_stream(jobs: DataFrame, results: DataFrame, agents: list[str]) -> DataFrame:
