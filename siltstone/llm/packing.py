@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokenizer import TOKENIZER_DIR, encoder
-from siltstone.session import stage
+from siltstone.session import spread, stage
 from siltstone.sources.tables import table
 
 CAPACITY = 2048
@@ -214,7 +214,7 @@ def measure(docs: DataFrame, capacity: int, name: str, folder: str) -> DataFrame
                 names=["doc_id", "piece_no", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, piece_no int, n_tokens int")
+    return spread(docs.select("doc_id", "text")).mapInArrow(count, "doc_id long, piece_no int, n_tokens int")
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:

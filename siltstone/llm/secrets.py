@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
 from siltstone.sources.tables import table
 
 #: Made lines the field is trained on, passes over them, and their seed.
@@ -555,7 +556,7 @@ def find_credentials(texts: DataFrame) -> DataFrame:
                 names=["src", "row_id", "path", "line_no", "start", "stop", "begins"],
             )
 
-    rows = texts.where(F.length("text") > 0).select("src", "row_id", "path", "text")
+    rows = spread(texts.where(F.length("text") > 0).select("src", "row_id", "path", "text"))
     return rows.mapInArrow(work, "src string, row_id long, path string, line_no long, start long, stop long, begins boolean")
 
 
@@ -570,7 +571,7 @@ def redact_credentials(texts: DataFrame) -> DataFrame:
             new = [finder.redact(t) if t else t for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["src", "row_id", "path", "text"])
 
-    return texts.select("src", "row_id", "path", "text").mapInArrow(work, "src string, row_id long, path string, text string")
+    return spread(texts.select("src", "row_id", "path", "text")).mapInArrow(work, "src string, row_id long, path string, text string")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import grammars, lexers
 from siltstone.llm.derivatives import Grammar
+from siltstone.session import spread
 from siltstone.sources.tables import table
 
 _SOFT = {
@@ -75,7 +76,7 @@ def check_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     one row out per row in.
     """
     lang = F.lower(F.trim("lang"))
-    rows = docs.select(F.col(key), F.col("text"), lang.alias("lang"))
+    rows = spread(docs.select(F.col(key), F.col("text"), lang.alias("lang")))
     checked = F.coalesce(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0), F.lit(False))
     kind = dict(docs.dtypes)[key]
 

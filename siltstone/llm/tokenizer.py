@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import spread
 from siltstone.sources.tables import table
 
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
@@ -145,7 +146,7 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOK
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
