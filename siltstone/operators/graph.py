@@ -73,7 +73,7 @@ def callees(edges: DataFrame, seeds: DataFrame, limit: int | None = 25) -> DataF
 
 def reaching_tests(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, limit: int | None = 200) -> DataFrame:
     """Dependents within ``depth`` whose file is a test's; ``nodes`` has node and source_file."""
-    hits = traverse(edges, seeds, depth, reverse=True, limit=limit)
+    hits = traverse(edges, seeds, depth, reverse=True, relations=DEPENDENCY_RELATIONS, limit=limit)
     return hits.join(nodes.select("node", "source_file"), "node").where(is_test_path(F.col("source_file")))
 
 
