@@ -25,6 +25,8 @@ from siltstone.sources.tables import table
 #: Length of the subsequences, decay per character they span, weight of a masked character.
 ORDER, DECAY, MASKED = 3, 0.5, 0.7
 LONGEST_WORD = 24
+#: Length and step of the overlapping pieces a longer word is scored in, and of those of scripts without spaces.
+PIECE, PIECE_STEP, UNSPACED_PIECE, UNSPACED_WORD = 8, 2, 5, 8
 #: Kernel values below this are noise of short shared pieces.
 SHARP = 4
 #: Labelled documents that the machine is fitted on besides the made sentences, at most.
@@ -43,6 +45,9 @@ _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Case and digits mixed as in encoded data, and as in a word spelled with signs.
 _ENCODED = re.compile(r"\d[A-Z]|[a-z]\d[a-z]*[A-Z]|[a-z][A-Z][a-z]?[A-Z]|[A-Z]{2}[a-z]+[A-Z0-9]|[A-Z]\d[A-Za-z]")
 _SPELLED = re.compile(r"[A-Z0-9$@!*]+|[A-Z]?[a-z0-9$@!*]+")
+#: Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_HEX = re.compile(r"(?:0x)?(?=[a-f]*\d)[0-9a-f]+|(?:0X)?(?=[A-F]*\d)[0-9A-F]+")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{50,}={0,2}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[;{}])")
 _QUOTE = re.compile(r"[\"`]")
@@ -98,12 +103,61 @@ def made_sentences(n: int = MADE, seed: int = SEED) -> list[tuple[str, int]]:
 # -- the kernel ---------------------------------------------------------------
 
 
+def encoded(raw: str) -> bool:
+    """Whether a long run of characters is a hex number or encoded bytes (case and digits at random), not words, whatever its length."""
+    if _HEX.fullmatch(raw):
+        return True
+    short = lambda parts, least: sum(map(len, parts)) < least * len(parts)
+    return short(_CAMEL.findall(raw), 2.5) and short(_CAMEL.findall(raw.translate(_LEET)), 3)
+
+
+def apart(raw: str) -> list[str]:
+    """A raw token cut at punctuation and symbols beyond ASCII, and where a script without spaces begins or ends."""
+    out = []
+    for c in raw:
+        if c.isascii() or c.isalnum() or unicodedata.category(c)[0] == "M":
+            out.append(c)
+        elif unicodedata.category(c) != "Cf":
+            plain = unicodedata.normalize("NFKD", c)
+            out.append(c if plain.isalnum() or plain in "*$@" else " ")
+    return _UNSPACED.sub(lambda m: f" {m.group()} ", "".join(out)).split()
+
+
+def pieces(word: str) -> list[tuple[int, str]]:
+    """Overlapping pieces of a word and where they begin; together they hold all its characters. Words of usual length are one piece."""
+    unspaced = _UNSPACED.search(word)
+    if len(word) <= (UNSPACED_WORD if unspaced else LONGEST_WORD):
+        return [(0, word)]
+    n, step = (UNSPACED_PIECE, 1) if unspaced else (PIECE, PIECE_STEP)
+    return [(i, word[i : i + n]) for i in [*range(0, len(word) - n, step), len(word) - n]]
+
+
+def disjoint(word: str) -> list[str]:
+    """A word cut into pieces that don't overlap, for training."""
+    n = len(pieces(word)[0][1])
+    return [word[i : i + n] for i in range(0, len(word), n)]
+
+
+def worst_cut(found: list[tuple[int, str]], weight: dict[str, float]) -> float:
+    """The largest sum of weights of pieces that don't overlap; of one piece its weight."""
+    if len(found) == 1:
+        return weight[found[0][1]]
+    best = [(0, 0.0)]  # where a choice of pieces ends, and its sum
+    for at, piece in found:
+        before = max(s for end, s in best if end <= at)
+        best.append((at + len(piece), before + max(weight[piece], 0.0)))
+        best = [x for x in best if x[0] > at] + [(at, max(s for end, s in best if end <= at))]
+    return max(s for _, s in best)
+
+
 def plain_words(raw: str) -> list[str]:
     """The words of one raw token: accents, letter-like signs and stretched letters undone, identifiers split."""
+    if not raw.isascii() and (cut := apart(raw)) != [raw]:
+        return [w for part in cut for w in plain_words(part)]
     raw = raw.rstrip("!$@").lstrip("!")
     if not any(c.isalpha() for c in raw) or (raw.count("*") and (len(raw) < 4 or raw[0] == "*")):
         raw = raw.replace("*", "")
-    if len(raw) > 60 or (len(raw) > LONGEST_WORD - 4 and sum(c.isdigit() for c in raw) > 3) or (len(raw) > 5 and _ENCODED.search(raw) and not _SPELLED.fullmatch(raw)):
+    if encoded(raw) if len(raw) > LONGEST_WORD - 4 and raw.isascii() else len(raw) > 5 and _ENCODED.search(raw) and not _SPELLED.fullmatch(raw):
         return []
     if not raw.isascii():
         raw = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c))
@@ -117,7 +171,7 @@ def plain_words(raw: str) -> list[str]:
         parts = _CAMEL.findall(raw) if raw.isascii() else [raw]
         if len(parts) > 1 and sum(map(len, parts)) / len(parts) < 2.5:
             return []
-    return [_RUN.sub(r"\1", p.lower())[:LONGEST_WORD] for p in parts if len(p) > (2 if p.isascii() else 1)]
+    return [_RUN.sub(r"\1", p.lower()) for p in parts if len(p) > (2 if p.isascii() else 1)]
 
 
 def _coded(words: list[str]) -> np.ndarray:
@@ -225,6 +279,7 @@ class AbuseModel:
 
     def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float):
         self.kernel, self.beta, self.bias = WordKernel(landmarks), beta, bias
+        self.letters = frozenset("*".join(landmarks)) | {"*"}
         self.words: dict[str, float] = {}
         self.raw: dict[str, float] = {}
 
@@ -233,13 +288,15 @@ class AbuseModel:
             self.raw.clear()
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        split = {r: plain_words(r) for r in raws}
-        new = sorted({w for ws in split.values() for w in ws} - self.words.keys())
-        if new:
+        split = {r: [pieces(w) for w in plain_words(r)] for r in raws}
+        new = sorted({w for ws in split.values() for found in ws for _, w in found} - self.words.keys())
+        # no character in common with any landmark: the kernel is 0
+        self.words.update((w, 0.0) for w in new if self.letters.isdisjoint(w))
+        if new := [w for w in new if w not in self.words]:
             weights = self.kernel.rows(new) @ self.beta
             self.words.update(zip(new, (np.sign(weights) * np.maximum(np.abs(weights) - FAINT, 0)).tolist()))
         for r, ws in split.items():
-            self.raw[r] = sum(self.words[w] for w in ws)
+            self.raw[r] = sum(worst_cut(found, self.words) for found in ws)
 
     def segment_scores(self, text: str) -> list[float]:
         """Scores of all lines, and of neighbouring comment lines together."""
@@ -250,7 +307,7 @@ class AbuseModel:
             text = re.sub(r"(?<=[^\W\d_]) (?=[^\W\d_] [^\W\d_] )", "", text)
         known, find = self.raw, _RAW.findall
         if len(text) > 200 and _BLOB.search(text):
-            text = _BLOB.sub(" ", text)
+            text = _BLOB.sub(lambda m: " " if encoded(m.group()) else m.group(), text)
         lines = [x for line in text.split("\n") for x in (_SENTENCE.split(line) if len(line) > 120 else (line,))]
         try:
             sums = [sum([known[t] for t in find(line)]) for line in lines]
@@ -282,10 +339,10 @@ class AbuseModel:
 
 def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) -> AbuseModel:
     """A linear machine with hinge loss on Nyström features."""
-    split = [[w for r in _RAW.findall(s) for w in plain_words(r)] for s, _ in sentences]
+    split = [[p for r in _RAW.findall(s) for w in plain_words(r) for p in disjoint(w)] for s, _ in sentences]
     vocabulary = sorted({w for ws in split for w in ws})
     if landmarks is None:
-        landmarks = sorted({w for s, _ in made_sentences() for r in _RAW.findall(s) for w in plain_words(r) if len(w) > 1})
+        landmarks = sorted({w for s, _ in made_sentences() for r in _RAW.findall(s) for w in plain_words(r) if 1 < len(w) <= LONGEST_WORD})
     kernel = WordKernel(landmarks)
     rows = kernel.rows(vocabulary)
     at = {w: i for i, w in enumerate(vocabulary)}

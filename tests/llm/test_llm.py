@@ -366,6 +366,20 @@ def test_abuse_and_disguises():
         assert m.score(s) <= 0, s
 
 
+def test_abuse_late_in_long_words():
+    m = abuse.base_model()
+    cjk, run = "这里先取快照再写入日志然后检查所有字段是否有效并且返回结果", "thecodewaswrittenbya"
+    camel = "processQueueEntriesAndMergeTheCacheLinesThenReturn"
+    for s in (f"// {cjk},{cjk}。你这个白痴", f"{cjk}你这个白痴不要再写了", f"x = {run}worthlessidiotandmustgo", f"def {camel}YouWorthlessPatheticIdiot():", " " * 200 + f"{run}worthlessidiotandmustgoawayfromherenowandforever", "y0ur3aw0rthl3ssid10tand4m0r0n"):
+        assert m.score(s) > 0, s
+    for s in (f"{cjk}。" * 4, camel + "TheNumberOfPendingWorkers", "a" * 300, "internationalizationconfigurationmanagerfactory", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"):
+        assert m.score(s) <= 0, s
+    for word in (cjk, run * 3, "x" * 24, "ab*" * 11):
+        found = abuse.pieces(word)
+        assert {i + k for i, p in found for k in range(len(p))} == set(range(len(word))) and "".join(abuse.disjoint(word)) == word
+        assert all(word[i : i + len(p)] == p for i, p in found)
+
+
 def test_score_documents(spark):
     docs = spark.createDataFrame([(1, "# you stupid worthless idiot", "a", 0), (2, "x = 1", "a", 0), (3, None, None, 0), (4, "", "b", 0), (1, "# you stupid worthless idiot", "a", 0)], "doc_id long, text string, source string, score int")
     labels = spark.createDataFrame([(1, "r", 5, 1), (2, "r", 5, 0), (2, "s", None, None), (None, "s", 1, 1)], "doc_id long, annotator string, quality int, toxic int")
