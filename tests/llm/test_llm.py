@@ -139,6 +139,22 @@ def test_file_origins(spark):
     assert provenance.file_origins(docs.where("false"), third).count() == 0
 
 
+def test_origins_of_long_files_and_late_marks(spark):
+    forms = ["export const {k} = {i};", "export function {k}(a) {{ return a + {i}; }}", "if ({k}) {{ {k}.go({i}, '{i}'); }}", "export class {k} {{ m(x) {{ return x * {i}; }} }}", "for (const {k} of [{i}, {i}]) {{ {k}(); }}", "while ({k} < {i}) {{ {k} = {k}.next['{i}']; }}", "throw new {k}({i} ? {i} : null);", "export let {k} = {{ a: {i}, b: [{i}] }};"]
+    pick = random.Random(9).choice
+    long = "\n".join(pick(forms).format(k=f"k{i}", i=i) for i in range(1500))
+    licence = "/*\n" + " Permission is hereby granted, free of charge, to any person obtaining a copy.\n" * 40 + "*/\n\n"
+    hand = "import a from 'b';\nexport function go(x) {\n  if (x > 3) { return a(x) + 1; }\n  for (const q of x) { q.run(); }\n}\n"
+    rows = [
+        (1, "r1", "a.js", long, "javascript"), (2, "r1", "b.js", licence + "// Code generated by maker. DO NOT EDIT.\n" + hand, "javascript"), (3, "r1", "c.js", licence + "// Was once generated; kept by hand.\n" + hand.replace("> 3", "!== y"), "javascript"),
+        (4, "r1", "d.js", licence + "// tidy v1.2.3 (c) the tidy contributors, MIT licensed\n" + hand.replace("a(x) + 1", "-x"), "javascript"), (5, "r1", "e.js", hand + "x = 1;\n" * 3 + "// a template: do not edit\n", "javascript"),
+    ]
+    assert provenance.describe(long, "javascript")[3] > 130
+    docs = spark.createDataFrame(rows, "doc_id long, repo string, path string, text string, lang string")
+    kinds = dict(one(provenance.file_origins(docs, spark.createDataFrame([("known.js",)], "file_name string")), "doc_id", "kind"))
+    assert kinds == {1: "generated", 2: "generated", 3: "hand", 4: "vendored", 5: "hand"}
+
+
 # -- 5 and 6: near duplicates and survivors
 
 
