@@ -138,7 +138,7 @@ def eval_ablation(spark, d):
     """One summary per agent left alone, as for modes of a review."""
     f = _clean(spark, d).withColumnRenamed("repo", "case").where("agent is not null")
     agents = f.select("agent").distinct()
-    wanted = _expected(spark, d).crossJoin(F.broadcast(agents.limit(64))).withColumn("case", F.concat_ws("|", "agent", "case")).drop("agent")
+    wanted = _expected(spark, d).crossJoin(agents).withColumn("case", F.concat_ws("|", "agent", "case")).drop("agent")
     s = evaluation.score_cases(f.withColumn("case", F.concat_ws("|", "agent", "case")), wanted, "case")
     return evaluation.summarize(s.withColumn("agent", F.substring_index("case", "|", 1)), ["agent"]).drop("true")
 

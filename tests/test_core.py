@@ -369,3 +369,14 @@ def test_engine(spark, tmp_path):
         engine.stats("other")
     found, verdict = engine.review(spark.createDataFrame([("j", "pkg/a.py", "@@ -0,0 +1,1 @@\n+eval(x)")], "job_id string, path string, patch string"))
     assert found.count() == 1 and verdict.first().verdict == "request_changes"
+
+
+def test_ablation_of_more_than_64_agents(spark, monkeypatch):
+    from siltstone.plans import reviews
+
+    found = spark.createDataFrame([(f"f{i}", "r", f"a{i:02}", "x.py", 3, 3, "bug", "info", "t", "m", 0.9) for i in range(70)], "id string, repo string, agent string, file string, line int, end_line int, category string, severity string, title string, message string, confidence double")
+    wanted = spark.createDataFrame([("r", 1, "x.py", 1, 5), ("r", 2, "y.py", 1, 5)], "case string, expected_id long, file string, first int, last int")
+    monkeypatch.setattr(reviews, "_clean", lambda s, d: found)
+    monkeypatch.setattr(reviews, "_expected", lambda s, d: wanted)
+    rows = reviews.eval_ablation(spark, "").collect()
+    assert len(rows) == 70 and {r.recall for r in rows} == {0.5}
