@@ -155,6 +155,16 @@ def test_origins_of_long_files_and_late_marks(spark):
     assert kinds == {1: "generated", 2: "generated", 3: "hand", 4: "vendored", 5: "hand"}
 
 
+@pytest.mark.parametrize("all_pairs", (0, 100))
+def test_bucket_members_unlike_its_head(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(provenance, "ALL_PAIRS", all_pairs)
+    marks = lambda a, b: bytes(np.arange(a, b, dtype=np.uint32).tobytes())
+    sets = {1: marks(500, 600), 2: marks(0, 100), 3: marks(5, 105), 4: marks(900, 1000), 5: marks(902, 1002), 6: marks(1500, 1600)}
+    rows = [(k, k, m, [7] * provenance.BANDS, 100, 0, 0) for k, m in sets.items()]
+    features = spark.createDataFrame(rows, "doc_id long, shape long, marks binary, bands array<long>, n_marks int, print0 long, print1 long")
+    assert sorted(one(provenance.cluster_shapes(features), "shape", "cluster")) == [(2, 2), (3, 2), (4, 4), (5, 4)]
+
+
 # -- 5 and 6: near duplicates and survivors
 
 
