@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import abuse, chunking, derivatives, neardup, packing, provenance, secrets, survivor, syntax, tokenizer
 
@@ -133,36 +134,54 @@ def test_file_origins(spark):
         (9, "r1", "m.js", "function a(b,c){" + "".join(f"var x{i}=b.q{i}(c,{i});if(x{i}>{i}){{return x{i}}}" for i in range(60)) + "}", "javascript"), (10, "r1", "w.js", 'const banner = "// @generated, do not edit";\n' + hand.replace("go", "run").replace("> 3", "!== y"), "javascript"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, repo string, path string, text string, lang string")
-    third = spark.createDataFrame([("known.js",), (None,)], "file_name string")
+    third = spark.createDataFrame([("known.js", "javascript", 30), (None, None, None)], "file_name string, lang string, n_lines long")
     kinds = dict(one(provenance.file_origins(docs, third), "doc_id", "kind"))
     assert kinds == {1: "generated", 2: "generated", 3: "hand", 4: "vendored", 5: "vendored", 6: "blob", 7: "hand", 8: "hand", 9: "minified", 10: "hand"}
     assert provenance.file_origins(docs.where("false"), third).count() == 0
-
-
-def test_origins_of_long_files_and_late_marks(spark):
-    forms = ["export const {k} = {i};", "export function {k}(a) {{ return a + {i}; }}", "if ({k}) {{ {k}.go({i}, '{i}'); }}", "export class {k} {{ m(x) {{ return x * {i}; }} }}", "for (const {k} of [{i}, {i}]) {{ {k}(); }}", "while ({k} < {i}) {{ {k} = {k}.next['{i}']; }}", "throw new {k}({i} ? {i} : null);", "export let {k} = {{ a: {i}, b: [{i}] }};"]
-    pick = random.Random(9).choice
-    long = "\n".join(pick(forms).format(k=f"k{i}", i=i) for i in range(1500))
-    licence = "/*\n" + " Permission is hereby granted, free of charge, to any person obtaining a copy.\n" * 40 + "*/\n\n"
-    hand = "import a from 'b';\nexport function go(x) {\n  if (x > 3) { return a(x) + 1; }\n  for (const q of x) { q.run(); }\n}\n"
-    rows = [
-        (1, "r1", "a.js", long, "javascript"), (2, "r1", "b.js", licence + "// Code generated by maker. DO NOT EDIT.\n" + hand, "javascript"), (3, "r1", "c.js", licence + "// Was once generated; kept by hand.\n" + hand.replace("> 3", "!== y"), "javascript"),
-        (4, "r1", "d.js", licence + "// tidy v1.2.3 (c) the tidy contributors, MIT licensed\n" + hand.replace("a(x) + 1", "-x"), "javascript"), (5, "r1", "e.js", hand + "x = 1;\n" * 3 + "// a template: do not edit\n", "javascript"),
-    ]
-    assert provenance.describe(long, "javascript")[3] > 130
+    # what a file says of itself, or a listed name alone, decides nothing
+    said = docs.where("doc_id in (3, 10)").withColumn("text", F.concat(F.lit("// Code generated by maker. DO NOT EDIT.\n"), "text")).withColumn("path", F.lit("x/known.js"))
+    assert set(one(provenance.file_origins(said, third), "kind")) == {"hand"}
+
+
+def test_copies_over_repositories_are_vendored_without_a_catalogue(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    lib = lambda: "\n".join(f"function {word()}({word()}) {{ return {word()}.{word()}({pick.randrange(99)}); }}\nlet {word()} = {word()};" for _ in range(30))
+    one_lib, other = lib(), lib()
+    rows = [(i, f"r{i}", f"a{i}/x{i}.js", one_lib.replace("return", "return !" if i == 3 else "return", 1), "javascript") for i in range(provenance.VENDOR_REPOS)]
+    rows += [(10 + i, f"r{i}", "lib/y.js", other, "javascript") for i in range(provenance.VENDOR_REPOS - 1)]
     docs = spark.createDataFrame(rows, "doc_id long, repo string, path string, text string, lang string")
-    kinds = dict(one(provenance.file_origins(docs, spark.createDataFrame([("known.js",)], "file_name string")), "doc_id", "kind"))
-    assert kinds == {1: "generated", 2: "generated", 3: "hand", 4: "vendored", 5: "hand"}
+    third = spark.createDataFrame([], "file_name string, lang string, n_lines long")
+    kinds = dict(one(provenance.file_origins(docs.unionByName(docs.limit(1)), third), "doc_id", "kind"))
+    assert all(kind == ("vendored" if i < 10 else "hand") for i, kind in kinds.items()) and len(kinds) == len(rows)
 
 
-@pytest.mark.parametrize("all_pairs", (0, 100))
-def test_bucket_members_unlike_its_head(spark, monkeypatch, all_pairs):
-    monkeypatch.setattr(provenance, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("tile", (2, 512))
+def test_bucket_links_join_all_alike_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(provenance, "TILE", tile)
     marks = lambda a, b: bytes(np.arange(a, b, dtype=np.uint32).tobytes())
-    sets = {1: marks(500, 600), 2: marks(0, 100), 3: marks(5, 105), 4: marks(900, 1000), 5: marks(902, 1002), 6: marks(1500, 1600)}
-    rows = [(k, k, m, [7] * provenance.BANDS, 100, 0, 0) for k, m in sets.items()]
-    features = spark.createDataFrame(rows, "doc_id long, shape long, marks binary, bands array<long>, n_marks int, print0 long, print1 long")
-    assert sorted(one(provenance.cluster_shapes(features), "shape", "cluster")) == [(2, 2), (3, 2), (4, 4), (5, 4)]
+    sets = {1: marks(500, 600), 2: marks(0, 100), 3: marks(5, 105), 4: marks(900, 1000), 5: marks(902, 1002), 6: marks(1500, 1600), 7: marks(14, 114), 8: marks(23, 123)}
+    items = spark.createDataFrame([(k, 100, 0, 0, [7, 8, 8]) for k in sets], "item long, n int, print0 long, print1 long, keys array<long>")
+    table = spark.createDataFrame(list(sets.items()), "item long, marks binary")
+    links = provenance.bucket_links(items, lambda pairs: provenance.verified(pairs, table))
+    joined = provenance.connected_components(links, "a", "b")
+    assert sorted(one(joined, "node", "component")) == [(2, 2), (3, 2), (4, 4), (5, 4), (7, 2), (8, 2)]
+
+
+def test_families_found_of_those_of_all_pairs(spark):
+    """Recall of links within a repository against all pairs, for likeness near the threshold."""
+    pick = random.Random(2)
+    sets = []
+    for _ in range(60):
+        base = [pick.randrange(1 << 30) for _ in range(80)]
+        for _ in range(4):
+            sets.append(np.unique(np.array(base[: 80 - pick.randrange(12)] + [pick.randrange(1 << 30) for _ in range(pick.randrange(8))], np.uint32)))
+    lows = [provenance.minima(m) for m in sets]
+    keys = [set(enumerate(provenance.bands(x, provenance.BANDS, provenance.ROWS).tolist())) for x in lows]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if provenance.jaccard_at_least(sets[i], sets[j])]
+    met = [(i, j) for i, j in alike if keys[i] & keys[j]]
+    bits = [sum((a ^ b).bit_count() for a, b in zip([x & (2**64 - 1) for x in provenance.prints(lows[i])], [x & (2**64 - 1) for x in provenance.prints(lows[j])])) for i, j in met]
+    assert len(alike) > 100 and len(met) >= 0.97 * len(alike) and max(bits) <= provenance.UNLIKE_BITS
 
 
 # -- 5 and 6: near duplicates and survivors
