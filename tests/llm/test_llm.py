@@ -140,7 +140,7 @@ def test_file_origins(spark):
     assert provenance.file_origins(docs.where("false"), third).count() == 0
     # what a file says of itself, or a listed name alone, decides nothing
     said = docs.where("doc_id in (3, 10)").withColumn("text", F.concat(F.lit("// Code generated by maker. DO NOT EDIT.\n"), "text")).withColumn("path", F.lit("x/known.js"))
-    assert set(one(provenance.file_origins(said, third), "kind")) == {"hand"}
+    assert set(one(provenance.file_origins(said, third), "kind")) == {("hand",)}
 
 
 def test_copies_over_repositories_are_vendored_without_a_catalogue(spark):
