@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.skew import lookup_join
+from siltstone.operators.skew import hot_keys, lookup_join
 from siltstone.session import stage, unstage
 
 
@@ -22,9 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both = stage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), "cc-labels")
+    hubs = hot_keys(both, "u")
     for _ in range(max_rounds):
         near = (
-            lookup_join(both.withColumnRenamed("u", "node"), labels, "node")
+            lookup_join(both.withColumnRenamed("u", "node"), labels, "node", hot=hubs)
             .groupBy(F.col("v").alias("node"))
             .agg(F.min("label").alias("near"))
         )
