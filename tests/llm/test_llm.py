@@ -153,7 +153,7 @@ def test_copies_over_repositories_are_vendored_without_a_catalogue(spark):
     docs = spark.createDataFrame(rows, "doc_id long, repo string, path string, text string, lang string")
     third = spark.createDataFrame([], "file_name string, lang string, n_lines long")
     kinds = dict(one(provenance.file_origins(docs.unionByName(docs.limit(1)), third), "doc_id", "kind"))
-    assert all(kind == ("vendored" if i < 10 else "hand") for i, kind in kinds.items()) and len(kinds) == len(rows)
+    assert all((kind == "vendored") == (i < 10) for i, kind in kinds.items()) and len(kinds) == len(rows)
 
 
 @pytest.mark.parametrize("tile", (2, 512))
