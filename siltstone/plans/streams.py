@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.plans.reviews import AGENTS
+from siltstone.plans.reviews import _FAN, AGENTS
 from siltstone.sources.tables import table
 from siltstone.streaming import jobs
 
@@ -28,8 +28,8 @@ def stream_dedupe(spark, d):
 
 
 def stream_fan_in(spark, d):
-    out = jobs.fan_in_stream(jobs.stream_table(spark, d, "review_jobs"), jobs.stream_table(spark, d, "agent_results"), AGENTS)
-    return jobs.run_to_table(out).select("job_id", "complete", "agents")
+    """Jobs with what each expected agent came to, once all is in or the deadline passed."""
+    return jobs.fan_in_table(spark, d, "review_jobs", "agent_results", AGENTS).select("job_id", "complete", "agents")
 
 
 def stream_dlq(spark, d):
@@ -57,6 +57,8 @@ s AS (SELECT user_id, ts, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 30 MINUT
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_dedupe": """WITH k AS (SELECT min(delivery_id) AS delivery_id FROM review_jobs WHERE length(head_sha) > 0 GROUP BY repo, pr_number, head_sha UNION ALL SELECT delivery_id FROM review_jobs WHERE coalesce(length(head_sha), 0) = 0)
 SELECT repo, count(*) AS passed FROM review_jobs JOIN k USING (delivery_id) GROUP BY 1""",
+    "stream_fan_in": f"""WITH {_FAN} SELECT job_id, count(*) FILTER (status = 'timeout') = 0 AS complete,
+  '{{' || string_agg('"' || agent || '": ' || to_json(status)::VARCHAR, ', ' ORDER BY agent) || '}}' AS agents FROM st GROUP BY 1""",
     "stream_dlq": "SELECT CASE WHEN event_id % 97 = 0 THEN 'dlq' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1",
     "job_status": """WITH u AS (SELECT job_id, 1 AS o FROM review_jobs WHERE job_id IS NOT NULL UNION ALL SELECT job_id, 2 FROM agent_results UNION ALL SELECT job_id, 3 FROM findings)
 SELECT job_id, ['queued', 'agents', 'judging'][max(o)] AS status FROM u GROUP BY 1""",

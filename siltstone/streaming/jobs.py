@@ -15,6 +15,8 @@ from siltstone.session import shared_folder
 
 #: Seconds a job's results may take, and days a request's identity is remembered.
 DEADLINE_SECONDS, REMEMBER = 300, "30 days"
+#: How late rows may be, and milliseconds that the mark of a finished job is kept.
+LATE, KEPT_MS = "1 day", 7 * 86_400_000
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -29,15 +31,15 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """Run ``stream`` over all that is available and read what it wrote.
 
     A batch writes its own folder and replaces it when it runs again, so a
     restart from the checkpoint repeats nothing. In complete mode the last
-    batch is the result.
+    batch is the result. ``root`` names the folder of an earlier run to go on with.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_folder(spark)}/siltstone/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -74,50 +76,79 @@ def session_counts(events: DataFrame, ts: str, by: str, gap: str) -> DataFrame:
 
 
 _OUT = "job_id string, agents string, complete boolean"
-_STATE = "agents string, expected string, deadline long, done boolean"
+_STATE = "agents array<string>, ats array<long>, ids array<long>, statuses array<string>, expected array<string>, created long, done boolean"
 
 
 def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Results of one job until all expected agents have one or the deadline passes; once only."""
-    agents, expected, deadline, done = state.get if state.exists else ("{}", "[]", 0, False)
-    have, want = json.loads(agents), json.loads(expected)
-    timed_out = state.hasTimedOut
+    """Results of one job until all expected agents have one in time or the deadline passes; once only."""
+    agents, ats, ids, statuses, want, created, done = state.get if state.exists else ([], [], [], [], [], -1, False)
+    if state.hasTimedOut and (done or created < 0):  # the mark, or results of a job that never came, have been kept long enough
+        state.remove()
+        return
+    have = {a: x for a, *x in zip(agents, ats, ids, statuses)}
+    want = list(want)
     for pdf in batches:
         for row in pdf.itertuples(index=False):
+            at = row.at.value // 1000
             if row.kind == "job":
-                want = sorted(set(want) | set(row.expected))
-                due = int(row.at.timestamp() * 1000) + DEADLINE_SECONDS * 1000
-                deadline = min(deadline, due) if deadline else due
-            elif not done:
-                # the earliest counts, a success before an error of the same moment
-                mine = [row.at.timestamp(), row.status != "ok", row.status]
+                if created < 0 or at < created:  # what the first request expects counts
+                    created, want = at, list(row.expected)
+            elif row.kind == "result" and not done:
+                # the earliest counts, then the smallest result
+                mine = [at, row.result_id, row.status]
                 have[row.agent] = min(have.get(row.agent, mine), mine)
-    complete = bool(want) and set(want) <= set(have)
-    emit = not done and (complete or (timed_out and bool(want)))
-    if emit:
-        said = {a: v[2] for a, v in have.items()} | {a: "timeout" for a in want if a not in have}
-        done = True
-    state.update((json.dumps(have), json.dumps(want), deadline, done))
-    if not done and deadline > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(deadline)
+    deadline = created + DEADLINE_SECONDS * 1_000_000
+    now = state.getCurrentWatermarkMs()
+    in_time = {a: x[2] for a, x in have.items() if created >= 0 and x[0] <= deadline}
+    complete = bool(want) and set(want) <= set(in_time)
+    emit = created >= 0 and not done and (complete or deadline // 1000 < now)
+    done = done or emit
+    state.update((list(have), *([x[i] for x in have.values()] for i in range(3)), want, created, done))
+    keep = KEPT_MS if done or created < 0 else 0
+    state.setTimeoutTimestamp(max(deadline // 1000 if created >= 0 else 0, now) + 1 + keep)
     if emit:
+        said = {a: in_time.get(a, "timeout") for a in want}
         yield pd.DataFrame({"job_id": [key[0]], "agents": [json.dumps(said, sort_keys=True)], "complete": [complete]})
 
 
-def fan_in_stream(jobs: DataFrame, results: DataFrame, agents: list[str]) -> DataFrame:
+def fan_in_stream(jobs: DataFrame, results: DataFrame, agents: list[str], ticks: DataFrame | None = None) -> DataFrame:
     """``job_id, agents, complete``: one row per job when its results are in, or its time is up.
 
     Both streams share one state per job. The deadline counts from the job's
-    creation in event time; a second result of an agent and any after the row
-    went out change nothing. The done mark and the row leave in one step.
+    first creation in event time; a result after it is none. Of an agent's
+    results the earliest counts, and any after the row went out change nothing.
+    The done mark and the row leave in one step; the mark, like results whose
+    job is unknown, goes ``KEPT_MS`` after the deadline has passed. ``ticks``
+    (at) only move the time on, as a heartbeat does when nothing else arrives.
     """
-    expected = F.when(F.size("expected_agents") > 0, F.col("expected_agents")).otherwise(F.array(*map(F.lit, agents)))
-    none = F.lit(None).cast("string")
-    a = jobs.where("job_id is not null").select("job_id", F.lit("job").alias("kind"), none.alias("agent"), none.alias("status"), F.col("created_at").alias("at"), expected.alias("expected"))
+    expected = F.array_distinct(F.when(F.size("expected_agents") > 0, F.col("expected_agents")).otherwise(F.array(*map(F.lit, agents))))
+    none, nobody = F.lit(None).cast("string"), F.array().cast("array<string>")
+    a = jobs.where("job_id is not null and created_at is not null").select("job_id", F.lit("job").alias("kind"), none.alias("agent"), none.alias("status"), F.lit(0).cast("long").alias("result_id"), F.col("created_at").alias("at"), expected.alias("expected"))
     status = F.when(F.col("error").isNull(), "ok").otherwise(F.concat(F.lit("error: "), F.substring("error", 1, 120)))
-    b = results.where("job_id is not null").select("job_id", F.lit("result").alias("kind"), "agent", status.alias("status"), F.col("arrived_at").alias("at"), F.array().cast("array<string>").alias("expected"))
-    both = a.unionByName(b).withWatermark("at", "1 day")
-    return both.groupBy("job_id").applyInPandasWithState(_gather, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    b = results.where("job_id is not null and agent is not null and arrived_at is not null").select("job_id", F.lit("result").alias("kind"), "agent", status.alias("status"), F.col("result_id").cast("long").alias("result_id"), F.col("arrived_at").alias("at"), nobody.alias("expected"))
+    both = a.unionByName(b)
+    if ticks is not None:
+        both = both.unionByName(ticks.select(F.lit("").alias("job_id"), F.lit("tick").alias("kind"), none.alias("agent"), none.alias("status"), F.lit(0).cast("long").alias("result_id"), "at", nobody.alias("expected")))
+    timed = both.withWatermark("at", LATE)
+    return timed.groupBy("job_id").applyInPandasWithState(_gather, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def fan_in_table(spark: SparkSession, sf_dir: str, jobs: str, results: str, agents: list[str]) -> DataFrame:
+    """:func:`fan_in_stream` over all files of two tables, to its end.
+
+    When all is read, a heartbeat past the last deadline follows through the
+    same checkpoint, so that what still waits goes out.
+    """
+    root = f"{shared_folder(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    beat = lambda at: spark.sql(f"SELECT timestamp_micros({at}) AS at").write.mode("append").parquet(f"{root}/ticks")
+    beat(0)
+    last = max(spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.max(F.unix_micros(F.col(c).cast("timestamp")))).first()[0] or 0 for t, c in ((jobs, "created_at"), (results, "arrived_at")))
+    for at in (None, last + 1_000_000 * (DEADLINE_SECONDS + 1) + 2 * 86_400_000_000):
+        if at is not None:
+            beat(at)
+        ticks = spark.readStream.schema("at timestamp").parquet(f"{root}/ticks")
+        out = run_to_table(fan_in_stream(stream_table(spark, sf_dir, jobs), stream_table(spark, sf_dir, results), agents, ticks), root=root)
+    return out
 
 
 def with_dead_letters(messages: DataFrame, check: Column | None = None, attempts: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import json
 import uuid
 import zlib
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -315,13 +316,48 @@ def test_redelivery_with_a_third_in_one_request(spark):
 def test_fan_in_stream(spark, tmp_path):
     from siltstone.streaming import jobs as sj
 
-    t0 = dt.datetime(2025, 1, 1)
-    spark.createDataFrame([("j", t0, ["a", "b"]), ("k", t0, ["a"]), ("m", t0 + dt.timedelta(days=9), ["a"])], "job_id string, created_at timestamp, expected_agents array<string>").write.parquet(f"{tmp_path}/jobs.parquet")
-    spark.createDataFrame([("j", "a", None, t0), ("k", "a", None, t0), ("k", "a", "again", t0)], "job_id string, agent string, error string, arrived_at timestamp").write.parquet(f"{tmp_path}/res.parquet")
-    out = sj.run_to_table(sj.fan_in_stream(sj.stream_table(spark, str(tmp_path), "jobs"), sj.stream_table(spark, str(tmp_path), "res"), ["a"]))
-    got = {r.job_id: (r.complete, json.loads(r.agents)) for r in out.collect()}
-    assert got["k"] == (True, {"a": "ok"}) and "m" not in got
-    assert got.get("j", (False, {"a": "ok", "b": "timeout"})) == (False, {"a": "ok", "b": "timeout"})
+    t0, s = dt.datetime(2025, 1, 1), lambda n: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=n)
+    jobs = [("j", t0, ["a", "b"]), ("k", t0, ["a"]), ("m", t0 + dt.timedelta(days=9), ["a"]), ("late", t0, ["a"]), ("two", s(5), ["a", "b"]), ("two", t0, ["b", "b"]), ("none", t0, None), (None, t0, ["a"]), ("x", None, ["a"])]
+    results = [("j", "a", None, t0, 1), ("k", "a", None, t0, 3), ("k", "a", "again", t0, 4), ("late", "a", None, s(301), 5), ("two", "b", "bad", s(300), 6), ("two", "b", None, s(300), 7), ("unknown", "a", None, t0, 8), ("none", "a", None, s(1), 9), ("j", None, None, t0, 10)]
+    spark.createDataFrame(jobs, "job_id string, created_at timestamp, expected_agents array<string>").write.parquet(f"{tmp_path}/jobs.parquet")
+    spark.createDataFrame(results, "job_id string, agent string, error string, arrived_at timestamp, result_id long").write.parquet(f"{tmp_path}/res.parquet")
+    got = {r.job_id: (r.complete, json.loads(r.agents)) for r in sj.fan_in_table(spark, str(tmp_path), "jobs", "res", ["a"]).collect()}
+    assert got == {
+        "j": (False, {"a": "ok", "b": "timeout"}), "k": (True, {"a": "ok"}), "m": (False, {"a": "timeout"}), "late": (False, {"a": "timeout"}),
+        "two": (True, {"b": "error: bad"}), "none": (True, {"a": "ok"}),
+    }
+
+
+def test_fan_in_state_is_removed():
+    from types import SimpleNamespace
+
+    from siltstone.streaming import jobs as sj
+
+    class State:
+        exists, hasTimedOut, kept, at = False, False, None, 0
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, t):
+            self.due = t
+
+        def getCurrentWatermarkMs(self):
+            return self.at
+
+    state, t0 = State(), pd.Timestamp(2025, 1, 1)
+    row = lambda **k: pd.DataFrame([SimpleNamespace(**k).__dict__])
+    job = row(kind="job", agent=None, status=None, result_id=0, at=t0, expected=["a"])
+    result = row(kind="result", agent="a", status="ok", result_id=1, at=t0, expected=[])
+    assert not list(sj._gather(("j",), iter([result]), state)) and state.exists
+    assert len(list(sj._gather(("j",), iter([job]), state))) == 1
+    state.at = state.due + 1
+    assert not list(sj._gather(("j",), iter([result]), state))  # a later copy changes nothing
+    state.hasTimedOut = True
+    assert not list(sj._gather(("j",), iter([]), state)) and not state.exists
 
 
 def test_dead_letters_and_status(spark):
