@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-# Suffix to language.
-LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rb": "ruby", "rs": "rust",
-    "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "bash", "sql": "sql",
-    "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "md": "markdown", "rst": "rst", "txt": "text",
+# Suffix to language, of code and of documents; and folders a scan never enters.
+CODE_LANGUAGES = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
+    "go": "go", "java": "java", "kt": "kotlin", "rs": "rust", "rb": "ruby", "php": "php",
+    "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "scala": "scala", "swift": "swift",
+    "sql": "sql", "sh": "bash", "yaml": "yaml", "yml": "yaml", "toml": "toml",
 }
-# Folders a scan never enters.
-SKIP_DIRS = [".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox", ".idea", "vendor"]
+DOCUMENT_LANGUAGES = {"md": "markdown", "rst": "rst", "txt": "text"}
+SKIP_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__", "site-packages", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", "graphify-out"]
+LANGUAGES = CODE_LANGUAGES | DOCUMENT_LANGUAGES
 # Fixed value: what makes a path a test's.
 TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]+$|_test\.\w+$|\.(test|spec)\.\w+$"
 
@@ -99,6 +101,32 @@ def signed_by(signature: Column, key: bytes, message: Column) -> Column:
     return F.coalesce(signature == F.concat(F.lit("sha256="), hmac_sha256(key, message)), F.lit(False))
 
 
+def commonest(counts: Column) -> Column:
+    """A map's entries as ``key n, key n``, by key; empty for an empty map."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), ", ")
+
+
+def ago(moment: Column, now: Column) -> Column:
+    """Time since ``moment`` in its largest fitting unit of s, m and h."""
+    s = F.unix_timestamp(now) - F.unix_timestamp(moment)
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(s / 3600).cast("string"), F.lit("h")))
+
+
+def module_name(path: Column) -> Column:
+    """The dotted module of a Python file; of a package's ``__init__`` the package."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
+
+
+def absolute_import(path: Column, module: Column) -> Column:
+    """``module`` of an import in the file ``path``, leading dots resolved against the file's package."""
+    dots = F.length(F.regexp_extract(module, r"^\.*", 0))
+    rest = F.nullif(F.regexp_replace(module, r"^\.+", ""), F.lit(""))
+    parts = F.filter(F.split(module_name(path), r"\."), lambda x: x != "")
+    kept = F.size(parts) - dots + F.when(path.rlike(r"(^|/)__init__\.py$"), 1).otherwise(0)
+    base = F.nullif(F.array_join(F.slice(parts, F.lit(1), F.greatest(kept, F.lit(0))), "."), F.lit(""))
+    return F.when(dots > 0, F.concat_ws(".", base, rest)).otherwise(module)
+
+
 def uuid5(namespace_hex: str, name: Column) -> Column:
     """Name-based UUID of version 5."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex.replace("-", ""))), F.encode(name, "utf-8")))

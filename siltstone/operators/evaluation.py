@@ -38,10 +38,22 @@ def summarize(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def cost(usage: DataFrame, prices: DataFrame, default: str) -> DataFrame:
-    """Usage (model, input, output, cache_read, cache_write tokens) with ``usd``; an unknown model costs what ``default`` does."""
+# Prices of a million tokens of a large, a medium and a small model: input, output, cache read, cache write.
+PRICES = [("large", 4.0, 20.0, 0.20, 5.0), ("medium", 2.0, 10.0, 0.20, 2.5), ("small", 1.0, 5.0, 0.10, 1.25)]
+
+
+def cost(usage: DataFrame, prices: DataFrame, default: str | None = None) -> DataFrame:
+    """Usage (model, input, output, cache_read, cache_write tokens) with ``usd``.
+
+    An unknown or NULL model costs what ``default`` does, else the dearest by
+    output price. Where ``usage`` has ``billable``, rows of FALSE cost 0.
+    ``prices`` has a row per model, a table of fixed size.
+    """
+    default = default or prices.orderBy(F.desc("output_price"), "model").first()["model"]
     known = usage.join(F.broadcast(prices.select("model").withColumn("priced", F.lit(True))), "model", "left")
     named = known.withColumn("model", F.when(F.col("priced"), F.col("model")).otherwise(default)).drop("priced")
     kinds = ["input", "output", "cache_read", "cache_write"]
-    total = sum((F.col(f"{k}_tokens") * F.col(f"{k}_price") for k in kinds), F.lit(0.0))
-    return named.join(F.broadcast(prices), "model").withColumn("usd", total / 1_000_000)
+    total = sum((F.col(f"{k}_tokens") * F.col(f"{k}_price") for k in kinds), F.lit(0.0)) / 1_000_000
+    if "billable" in usage.columns:
+        total = F.when(F.coalesce("billable", F.lit(True)), total).otherwise(0.0)
+    return named.join(F.broadcast(prices), "model").withColumn("usd", total)

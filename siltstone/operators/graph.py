@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import bare_path, is_test_path
+from siltstone.functions.text import absolute_import, bare_path, is_test_path, module_name
 from siltstone.session import stage
 
 # Relations a call goes along, and those a dependency goes along.
 CALL_RELATIONS = ["calls", "indirect_call", "references", "uses", "uses_static_prop", "references_constant", "bound_to", "listened_by"]
 DEPENDENCY_RELATIONS = CALL_RELATIONS + ["imports", "imports_from", "inherits", "extends", "implements", "re_exports"]
-STAGE_EVERY = 3
 
 
 def traverse(
@@ -44,7 +43,7 @@ def traverse(
             .join(seen.select("node"), "node", "left_anti")
             .select("node", F.lit(d).alias("distance"), "first.relation", "first.via")
         )
-        if depth > STAGE_EVERY and d % STAGE_EVERY == 0:
+        if d < depth:  # else each step would compute all before it again
             found = stage(found, "frontier")
         seen, frontier = seen.unionByName(found), found
     out = seen.where("distance > 0")
@@ -59,7 +58,9 @@ def in_degree(edges: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = 40, relations: list[str] | None = None) -> DataFrame:
     """Everything that depends on ``seeds``, nearest first, then what most depend on."""
     hits = traverse(edges, seeds, depth, reverse=True, relations=relations, limit=limit)
-    ranked = hits.join(in_degree(edges), "node", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
+    hits = stage(hits, "hits")
+    into = in_degree(edges.join(hits.select(F.col("node").alias("target")), "target", "left_semi"))
+    ranked = hits.join(into, "node", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     return ranked.orderBy("distance", F.desc("in_degree"), "node")
 
 
@@ -134,21 +135,22 @@ def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
     """``caller, target, confidence, line`` of calls (caller, file, owner, name, on_self, line).
 
-    A name is looked for among imported symbols (imports: file, name, from_file),
+    A name is looked for among imported symbols (imports: file, name, from_file,
+    and ``real``, the name there, where it differs),
     on self in the caller's class, in the caller's file, and at last anywhere if
     at most three definitions (node, file, owner, name) have it; then all of
     them count, INFERRED where there are several. One edge per caller and
     target, none to itself.
     """
     c = calls.withColumn("call", F.xxhash64("caller", "file", "name", "line", "on_self"))
-    d = definitions.select(F.col("node").alias("target"), F.col("file").alias("d_file"), F.col("owner").alias("d_owner"), "name")
-    direct = c.join(imports.select("file", "name", "from_file"), ["file", "name"]).join(
-        d.where("d_owner is null"), (F.col("from_file") == F.col("d_file")) & (c["name"] == d["name"])
-    ).select("call", "caller", "line", "target", F.lit(1).alias("tier"))
-    both = c.join(d, "name")
-    own = both.where("on_self and d_file = file and d_owner = owner").select("call", "caller", "line", "target", F.lit(2).alias("tier"))
-    local = both.where("not on_self and d_file = file and d_owner is null").select("call", "caller", "line", "target", F.lit(3).alias("tier"))
+    d = definitions.select(F.col("node").alias("target"), "file", "owner", "name")
+    free = d.where("owner is null").drop("owner")
+    named = imports.select("file", "name", F.col("from_file"), F.col("real") if "real" in imports.columns else F.col("name").alias("real")).distinct()
+    direct = c.join(named, ["file", "name"]).join(free.withColumnsRenamed({"file": "from_file", "name": "real"}), ["from_file", "real"]).select("call", "caller", "line", "target", F.lit(1).alias("tier"))
+    own = c.where("on_self").join(d, ["file", "owner", "name"]).select("call", "caller", "line", "target", F.lit(2).alias("tier"))
+    local = c.where("not on_self").join(free, ["file", "name"]).select("call", "caller", "line", "target", F.lit(3).alias("tier"))
     few = d.groupBy("name").agg(F.count("*").alias("n")).where("n <= 3")
+    d = d.select("name", "target")
     anywhere = c.join(few, "name").join(d, "name").select("call", "caller", "line", "target", F.lit(4).alias("tier"), "n")
     tiers = direct.unionByName(own).unionByName(local).groupBy("call", "caller", "line", "tier").agg(F.min("target").alias("target")).withColumn("n", F.lit(1).cast("long"))
     ranked = tiers.unionByName(anywhere).withColumn("best", F.min("tier").over(Window.partitionBy("call"))).where("tier = best")
@@ -186,12 +188,12 @@ def python_facts(files: DataFrame) -> DataFrame:
                         if isinstance(f, ast.Name):
                             out.append((path, "call", scope, owner, f.id, y.lineno, None, None))
                         elif isinstance(f, ast.Attribute):
-                            on_self = isinstance(f.value, ast.Name) and f.value.id == "self"
+                            on_self = isinstance(f.value, ast.Name) and f.value.id in ("self", "cls")
                             out.append((path, "call", scope, owner, f.attr, y.lineno, None, "self" if on_self else "attribute"))
                     elif isinstance(y, ast.Import):
                         out.extend((path, "import", scope, None, a.name, y.lineno, None, None) for a in y.names)
                     elif isinstance(y, ast.ImportFrom):
-                        out.extend((path, "import_from", scope, None, a.name, y.lineno, None, "." * y.level + (y.module or "")) for a in y.names)
+                        out.extend((path, "import_from", scope, a.asname or a.name, a.name, y.lineno, None, "." * y.level + (y.module or "")) for a in y.names)
 
         walk(tree.body, path, None)
         return out
@@ -213,16 +215,15 @@ def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = facts.where(F.col("fact").isin(kinds)).select("node", F.col("name").alias("label"), F.col("fact").alias("kind"), F.col("path").alias("source_file"), F.col("line").alias("start_line"), "end_line").dropDuplicates(["node"])
     edge = lambda d, s, t, r, c="EXTRACTED": d.select(F.col(s).alias("source"), F.col(t).alias("target"), F.lit(r).alias("relation"), F.lit(c).alias("confidence"), F.col("line"))
     contains = edge(facts.where(F.col("fact").isin(kinds[1:])), "extra", "node", "contains")
-    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"/__init__$", ""), "/", ".")
-    modules = facts.where("fact = 'file'").select(module.alias("module"), F.col("path").alias("target"))
+    modules = facts.where("fact = 'file'").select(module_name(F.col("path")).alias("module"), F.col("path").alias("target"))
     named = facts.where("fact in ('import', 'import_from')").withColumn(
-        "full", F.when(F.col("fact") == "import", F.col("name")).otherwise(F.concat_ws(".", F.nullif("extra", F.lit("")), "name"))
+        "full", F.when(F.col("fact") == "import", F.col("name")).otherwise(F.concat_ws(".", F.nullif(absolute_import(F.col("path"), F.col("extra")), F.lit("")), "name"))
     )
     prefix = longest_prefix(named.select(F.col("full").alias("name")), modules).withColumnRenamed("name", "full")
     imported = named.join(prefix, "full").join(modules, "module").where("path <> target")
     imports = edge(imported.groupBy("path", "target").agg(F.min("line").alias("line")), "path", "target", "imports")
     definitions = facts.where("fact in ('class', 'function', 'method')").select("node", F.col("path").alias("file"), "owner", "name")
-    by_name = imported.where("fact = 'import_from'").select(F.col("path").alias("file"), "name", F.col("target").alias("from_file")).distinct()
+    by_name = imported.where("fact = 'import_from'").select(F.col("path").alias("file"), F.col("owner").alias("name"), F.col("name").alias("real"), F.col("target").alias("from_file")).distinct()
     calls = facts.where("fact = 'call'").select(
         F.col("node").alias("caller"), F.col("path").alias("file"), "owner", "name", (F.coalesce("extra", F.lit("")) == "self").alias("on_self"), "line"
     )

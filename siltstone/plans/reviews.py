@@ -104,14 +104,11 @@ def usage_rollup(spark, d):
     return r.groupBy("agent").agg(F.count("*").alias("results"), *[F.coalesce(F.sum(f"usage_stats.{c}"), F.lit(0)).alias(c) for c in cols], F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
-PRICES = [("large", 4.0, 20.0, 0.2, 5.0), ("medium", 2.0, 10.0, 0.2, 2.5), ("small", 1.0, 5.0, 0.1, 1.25)]
-
-
 def cost_model(spark, d):
-    prices = spark.createDataFrame(PRICES, "model string, input_price double, output_price double, cache_read_price double, cache_write_price double")
+    prices = spark.createDataFrame(evaluation.PRICES, "model string, input_price double, output_price double, cache_read_price double, cache_write_price double")
     model = F.when(F.col("agent") == "security", "large").when(F.col("agent") == "reviewer", "medium").otherwise("unknown")
     u = usage_rollup(spark, d).withColumn("model", model)
-    return evaluation.cost(u, prices, "small").select("agent", F.round("usd", 6).alias("usd"))
+    return evaluation.cost(u, prices).select("agent", F.round("usd", 6).alias("usd"))
 
 
 def tool_calls(spark, d):
@@ -318,7 +315,7 @@ SELECT j.job_id, j.repo, count(f.id) AS findings FROM j LEFT JOIN findings f USI
     "usage_rollup": f"WITH {_USE} SELECT * FROM us",
     "cost_model": f"""WITH {_USE}, p(model, i, o, r, w) AS (VALUES ('large', 4.0, 20.0, 0.2, 5.0), ('medium', 2.0, 10.0, 0.2, 2.5), ('small', 1.0, 5.0, 0.1, 1.25))
 SELECT agent, round((input_tokens * i::DOUBLE + output_tokens * o::DOUBLE + cache_read_tokens * r::DOUBLE + cache_write_tokens * w::DOUBLE) / 1000000, 6) AS usd
-FROM us JOIN p ON p.model = CASE WHEN agent = 'security' THEN 'large' WHEN agent = 'reviewer' THEN 'medium' ELSE 'small' END""",
+FROM us JOIN p ON p.model = CASE WHEN agent = 'security' THEN 'large' WHEN agent = 'reviewer' THEN 'medium' ELSE 'large' END""",
     "tool_calls": "SELECT agent, e.key AS tool, sum(e.value)::BIGINT AS n FROM (SELECT agent, unnest(map_entries(tool_calls)) AS e FROM agent_results) GROUP BY 1, 2",
     "eval_score": "WITH " + _EVAL.format(keys=_PLAIN_KEYS) + " SELECT c AS case_id, expected, hit, defects, n_true, other FROM sc",
     "eval_summary": "WITH " + _EVAL.format(keys=_PLAIN_KEYS) + _SUMMARY.format(by="", agent="1"),

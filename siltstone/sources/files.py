@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -10,15 +14,40 @@ from siltstone.functions.text import SKIP_DIRS, line_of_location
 
 
 def source_tree(spark: SparkSession, root: str, suffixes: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
-    """``path, text`` of the files under ``root``; skips the usual folders, keeps listed suffixes and, with ``only`` (path), its files."""
-    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("full", F.col("_metadata.file_path"))
-    path = F.regexp_replace(F.col("full"), r"^.*?" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/", "")
-    rows = raw.select(path.alias("path"), F.col("value").alias("text"))
-    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    rows = rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS))))
-    if suffixes:
-        rows = rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([s.lower().lstrip(".") for s in suffixes]))
-    return rows.join(only.select("path").distinct(), "path", "left_semi") if only is not None else rows
+    """``path, text`` of the files under ``root``; skips the usual folders, keeps listed suffixes and, with ``only`` (path), its files.
+
+    Names that begin with ``_`` or a dot count too (Spark's own readers leave
+    them out). Only names reach the driver; texts are read where they are used,
+    broken UTF-8 replaced, unreadable files left out. ``root`` is a path or URI
+    that every executor can read.
+    """
+    uri = root if "://" in root else os.path.abspath(root)
+    fs, base = pafs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+    kept = {x.lower().lstrip(".") for x in suffixes} if suffixes else None
+    paths = sorted(
+        path
+        for f in fs.get_file_info(pafs.FileSelector(base, recursive=True))
+        if f.type == pafs.FileType.File
+        and not set((path := f.path[len(base) + 1 :]).split("/")[:-1]) & set(SKIP_DIRS)
+        and (kept is None or f.extension.lower() in kept)
+    )
+
+    def read(batches):
+        files, home = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with files.open_input_stream(f"{home.rstrip('/')}/{path}") as f:
+                        out.append((path, f.read().decode("utf-8", "replace")))
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["path", "text"])
+
+    names = spark.createDataFrame([(p,) for p in paths], "path string")
+    names = names.join(only.select("path").distinct(), "path", "left_semi") if only is not None else names
+    return names.mapInArrow(read, "path string, text string")
 
 
 def code_graph(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame]:
