@@ -1,5 +1,5 @@
 """The query modules of the core."""
 
-from siltstone.plans import graphs, requests, reviews, streams, texts
+from siltstone.plans import graphs, panels, requests, reviews, streams, texts
 
-MODULES = [graphs, texts, reviews, streams, requests]
+MODULES = [graphs, texts, reviews, panels, streams, requests]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import approx_tokens, hash32, identifier_tokens, language_of, normalize
+from siltstone.functions.text import LANGUAGES, approx_tokens, hash32, identifier_tokens, language_of, normalize
 from siltstone.operators import chunks, diffs, retrieval
 from siltstone.plans.graphs import _LINES
 from siltstone.sources.tables import table
@@ -88,7 +88,7 @@ def dense_topk(spark, d):
 
 
 def _sparse(spark, d, k):
-    docs = table(spark, d, "documents").where("lang = 'markdown'").select(F.col("doc_id").alias("item"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
     terms = retrieval.term_frequency(docs, "item")
     weights = terms.select("item", "token", (1 + F.log("n")).alias("weight"))
     queries = weights.where("item % 100 = 0").select(F.col("item").alias("query"), "token", "weight")
@@ -181,8 +181,8 @@ SELECT id, dim, round(value / norm, 6) AS value FROM v JOIN z USING (id)""",
     "dense_topk": """WITH p AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_cosine_similarity(i.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score
   FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0)
 SELECT query, item, rank FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM p) WHERE rank <= 10""",
-    "sparse_topk": "WITH " + _TOK.format(key="doc_id", text="text", table="(SELECT * FROM documents WHERE lang = 'markdown')") + """,
-i AS (SELECT token, ln(1 + ((SELECT count(*) FROM documents WHERE lang = 'markdown') - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY 1),
+    "sparse_topk": "WITH " + _TOK.format(key="doc_id", text="text", table="documents") + """,
+i AS (SELECT token, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY 1),
 w AS (SELECT key, token, 1 + ln(n) AS weight FROM tf),
 p AS (SELECT q.key AS query, d.key AS item, round(sum(q.weight * d.weight * i.idf), 5) AS score FROM w q JOIN w d USING (token) JOIN i USING (token) WHERE q.key % 100 = 0 GROUP BY 1, 2)
 SELECT query, item, rank FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM p) WHERE rank <= 10""",
@@ -195,5 +195,7 @@ SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 f AS (SELECT list_reduce(list_prepend({'id': NULL::BIGINT, 'n': 0::BIGINT, 'ids': []::BIGINT[]}, list_transform(r, lambda x: {'id': x.id, 'n': x.n, 'ids': []::BIGINT[]})),
   lambda a, x: CASE WHEN a.n + x.n <= 6000 THEN {'id': NULL::BIGINT, 'n': a.n + x.n, 'ids': list_append(a.ids, x.id)} ELSE a END) AS s FROM g)
 SELECT unnest(s.ids) AS chunk_id FROM f""",
+    "path_language": "WITH m(s, l) AS (VALUES " + ", ".join(f"('{s}', '{l}')" for s, l in LANGUAGES.items()) + r""") SELECT doc_id, l AS lang_of_path, floor(length(text) / 4)::BIGINT AS tokens
+FROM documents LEFT JOIN m ON m.s = lower(regexp_extract(path, '\.([^./]+)$', 1))""",
     "text_normalize": "SELECT id, regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g') AS plain FROM findings",
 }

@@ -416,3 +416,80 @@ def test_ablation_of_more_than_64_agents(spark, monkeypatch):
     monkeypatch.setattr(reviews, "_expected", lambda s, d: wanted)
     rows = reviews.eval_ablation(spark, "").collect()
     assert len(rows) == 70 and {r.recall for r in rows} == {0.5}
+
+
+def test_relative_imports_and_aliases(spark, tmp_path):
+    from siltstone.engine import Engine
+
+    files = {
+        "pkg/__init__.py": "from .a import f as g\n", "pkg/a.py": "def f(x):\n    return x + 1\n\n\nclass K:\n    def m(self):\n        return self.n()\n\n    def n(self):\n        return f(2)\n",
+        "pkg/b.py": "from .a import f\nfrom . import a\n\n\ndef use():\n    return f(1)\n", "pkg/sub/c.py": "from ..a import f as h\n\n\ndef deep():\n    return h(3)\n",
+        "tests/test_a.py": "from pkg.b import use\n\n\ndef test_use():\n    assert use() == 2\n", "site-packages/x.py": "y = 1\n", "README.md": "# Guide\n\nhow to use f\n",
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    engine = Engine(spark)
+    index = engine.index("r", str(tmp_path))
+    got = set(one(index["edges"].where("relation <> 'contains'"), "source", "target", "relation"))
+    assert got == {
+        ("pkg/__init__.py", "pkg/a.py", "imports"), ("pkg/b.py", "pkg/a.py", "imports"), ("pkg/sub/c.py", "pkg/a.py", "imports"), ("tests/test_a.py", "pkg/b.py", "imports"),
+        ("pkg/a.py::K.m", "pkg/a.py::K.n", "calls"), ("pkg/a.py::K.n", "pkg/a.py::f", "calls"), ("pkg/b.py::use", "pkg/a.py::f", "calls"), ("pkg/sub/c.py::deep", "pkg/a.py::f", "calls"), ("tests/test_a.py::test_use", "pkg/b.py::use", "calls"),
+    }
+    changed = spark.createDataFrame([("pkg/a.py", "@@ -1,1 +1,2 @@\n def f(x):\n+    return x + 1"), ("new.py", None)], "path string, patch string")
+    report = engine.impact_report("r", changed)
+    assert "new.py: not in graph" in report and "[d1] deep [function] @ pkg/sub/c.py:4 (calls ← f)" in report and report.endswith("test_use [function] @ tests/test_a.py:4")
+    assert len(engine.impact_report("r", changed, budget=120)) == 120
+    packed = engine.pack_context("r", changed)
+    assert "--- dependent: use" in packed and "    5  def use():" in packed and len(engine.pack_context("r", changed, 700)) <= 700
+    tools = engine.tools("r", ["get_callers", "search_code"])
+    assert set(tools) == {"get_callers", "search_code"} and "Callers of f" in tools["get_callers"](symbol="f") and tools["get_callers"](sym="f").startswith("error")
+    assert engine.tests_report("r", "nothing").startswith("No symbol")
+    assert "pkg/b.py" not in engine.search_report("r", "def use return f", "code", 3, ["pkg/b.py"]) and "Guide" in engine.search_report("r", "guide", "doc")
+    with pytest.raises(LookupError):
+        engine.impact_report("other", changed)
+
+
+def test_cut_lines_and_blocks(spark):
+    from siltstone.operators import reports
+
+    lines = spark.createDataFrame([(i, "x" * 10) for i in range(1, 6)], "pos int, line string")
+    assert reports.joined(reports.cut_lines(lines, 35, title="title")).first()["report"] == "title\n" + "\n".join(["x" * 10] * 3) + "\n  … 2 more truncated"
+    assert reports.joined(reports.cut_lines(lines.where("false"), 35, title="title")).first()["report"] == "title\n  (none found in graph)"
+    blocks = spark.createDataFrame([("k", 1, 5), ("k", 2, 9), ("k", 3, 4), ("o", 1, 50)], "k string, pos int, n int")
+    assert sorted(one(reports.fitting_blocks(blocks, 10, ["k"]), "k", "pos", "fits")) == [("k", 1, True), ("k", 2, False), ("k", 3, False), ("o", 1, False)]
+    assert sorted(one(reports.fitting_blocks(blocks, 10, ["k"], skip=True), "k", "pos", "fits")) == [("k", 1, True), ("k", 2, False), ("k", 3, True), ("o", 1, False)]
+
+
+def test_stores(spark, tmp_path):
+    from siltstone.sources import store
+
+    graphs = store.GraphStore(spark, str(tmp_path / "g"))
+    nodes, edges = spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([("a", "b")], "source string, target string")
+    with pytest.raises(LookupError):
+        graphs.get("o/r")
+    assert graphs.put("o/r", nodes, edges) == 1 and graphs.put("o/r", nodes.unionByName(nodes), edges) == 2
+    assert graphs.get("o/r")[0].count() == 2 and graphs.get("o/r", 1)[0].count() == 1
+    t = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    log = spark.createDataFrame([("a", "1", t(0), 10), ("a", "2", t(1), None), ("b", "1", t(0), 5), ("c", "1", t(0), None), ("c", None, t(1), None), (None, "1", t(0), None)], "key string, value string, at timestamp, ttl long")
+    assert one(store.live_state(log, t(7)), "key", "value") == [("a", "2")]
+    acks = spark.createDataFrame([("g", "t", 0, 3), ("g", "t", 0, 1), ("g", "t", 1, None)], "group string, topic string, partition int, offset long")
+    assert one(store.committed_offsets(acks), "group", "topic", "partition", "next") == [("g", "t", 0, 4)]
+    assert one(store.due_members(spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 9.0)], "member string, score double"), 2.0), "member") == [("b",), ("a",)]
+    md = store.write_evaluation(spark.createDataFrame([("x", 1.0)], "mode string, f1 double"), str(tmp_path / "e")).first()["markdown"]
+    assert md == "| mode | f1 |\n| --- | --- |\n| x | 1.0 |" and spark.read.json(str(tmp_path / "e")).count() == 1
+
+
+def test_dense_search_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 8)).round(1)
+    v[7] = 0
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 8), (999, None)], "item long, vector array<double>").repartition(5)
+    queries = items.where("item % 20 = 0").selectExpr("item as query", "vector")
+    got = {(q, r): i for q, i, r in one(retrieval.dense_search(queries, items, 4, 6), "query", "item", "rank")}
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    for q in range(0, 200, 20):
+        scores = np.round(unit @ unit[q], 6)
+        assert [got[q, r] for r in range(1, 5)] == sorted(range(200), key=lambda i: (-scores[i], i))[:4]
