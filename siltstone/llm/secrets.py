@@ -15,7 +15,6 @@ import string
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,32 +23,29 @@ from siltstone.session import spread
 from siltstone.sources.tables import table
 
 #: Made lines the field is trained on, passes over them, and their seed.
-TRAIN_LINES, PASSES, SEED = 12000, 4, 11
-LINES_KEPT = 200_000
-#: Shapes a credential can have; a token of another shape is none, whatever stands around it.
-CAN_BE = frozenset(("hex", "jwt", "prefixed", "random", "pw"))
-IF_QUOTED = frozenset(("mixed", "ident", "text", "dotted"))
-SHORTEST = 6
-#: Tokens of a line that are decoded at a time.
-WINDOW = 400
+TRAIN_LINES, PASSES, SEED = 20000, 3, 11
+#: Spellings, kinds of lines and context scores a task remembers before it starts afresh.
+KEPT = 300_000
 # Parts of names that go with credentials, and with things that look alike.
 SECRET_PARTS = frozenset(
     "pass passwd password passphrase passwort kennwort pwd pw pin secret token auth authorization bearer credential credentials cred apikey accesskey privatekey signing encryption hmac webhook session cookie jwt pat login key passe motdepasse contrasena clave senha dsn broker account storage shared access service api client connection".split()
 )
+PASSWORD_PARTS = frozenset("pass passwd password passphrase passwort kennwort pwd pw pin passe motdepasse contrasena clave senha".split())
 NEUTRAL_PARTS = frozenset(
     "id uuid guid trace request digest hash checksum etag sha sha1 sha256 sha512 md5 crc integrity commit revision version build fingerprint path file dir public cert certificate pem url uri host name label data blob table image base64 color font icon nonce salt".split()
 )
 _TOKEN = re.compile(
     r"""-{4,}(?:BEGIN|END)\ [A-Z0-9 ]+-----
+    |(?<=://)[^\s:/@"'`]*:(?!\d+(?:[\s/"'`]|$))[^\s/@"'`]+(?:@|(?=["'`]|$))
     |\$\{[^}\n]*\}|\{\{[^}\n]*\}\}|<[^<>\s]+>|\$\([^)\n]*\)
-    |[A-Za-z][A-Za-z0-9+.-]*://
+    |(?:[A-Za-z][A-Za-z0-9+.-]*)?://
     |[A-Za-z_$][\w$-]*(?=["'`\]]*\s*(?::=|=>|=|:(?!//)))
-    |[^\s"'`,;(){}\[\]<>\\=:]+(?:[=:][^\s"'`,;(){}\[\]<>\\=:]+)*={0,2}(?![^\s"'`,;(){}\[\]<>\\])
-    |[^\s"'`,;(){}\[\]<>\\=:]+
+    |(?:[^\s"'`,;(){}\[\]<>\\=:]|\\(?:u\{\w+\}|\S))+(?:[=:](?!//)(?:[^\s"'`,;(){}\[\]<>\\=:]|\\(?:u\{\w+\}|\S))+)*={0,2}(?![^\s"'`,;(){}\[\]<>\\])
+    |(?:[^\s"'`,;(){}\[\]<>\\=:]|\\(?:u\{\w+\}|\S))+
     |\S""",
     re.X,
 )
-_LOGIN = re.compile(r"([^\s:/@\"'`]*):([^\s/@\"'`]+)(@|(?=[\"'`]|$))")
+_LOGIN = re.compile(r"[^\s:/@\"'`]*:[^\s/@\"'`]+@?")
 _QUOTES = frozenset("\"'`")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -61,14 +57,15 @@ def name_class(word: str) -> str:
     hit_s = [p in SECRET_PARTS for p in parts]
     hit_n = [p in NEUTRAL_PARTS for p in parts]
     joined = "".join(parts)
-    if joined in ("motdepasse",) or joined in SECRET_PARTS:
-        return "secret"
+    kind = "password" if joined in PASSWORD_PARTS or any(p in PASSWORD_PARTS for p in parts) else "secret"
+    if joined in SECRET_PARTS:
+        return kind
     if hit_n[-1]:
         return "neutral-after" if any(hit_s) else "neutral"
     if "public" in parts:
         return "neutral"
     if any(hit_s):
-        return "secret"
+        return kind
     return "neutral" if any(hit_n) else "other"
 
 
@@ -114,125 +111,117 @@ def shape_class(v: str) -> str:
     return "mixed" if digit and (lower or upper) else "sign" if n == 1 else "text"
 
 
-def tokenize(line: str) -> list[tuple[int, int, str]]:
-    """``(start, end, text)``; user and password of a login in a URL are tokens of their own."""
-    out: list[tuple[int, int, str]] = []
-    at = 1 if line[:1] in "+-" and line[:6] != "-----B" and line[:2] != "--" or line[:6] == "------" else 0  # the sign of a diff line
-    while m := _TOKEN.search(line, at):
-        s, e, t = m.start(), m.end(), m.group()
-        if "://" in t and not t.endswith("://"):
-            k = line.index("://", s) + 3
-            if re.match(r"[A-Za-z]", t):
-                e, t = k, line[s:k]
-        out.append((s, e, t))
-        at = e
-        if t.endswith("://") and (q := _LOGIN.match(line, e)) and not q[2].isdigit():
-            out.append((q.start(1), q.end(1), "\0user"))
-            out.append((q.start(2), q.end(2), "\0login" + q[2]))
-            at = q.end()
-    return out
+def _after_sign(line: str) -> int:
+    """Where a line begins after the sign of a diff."""
+    return 1 if line[:1] in "+-" and line[:6] != "-----B" and line[:2] != "--" or line[:6] == "------" else 0
 
 
 def _length(n: int) -> str:
     return "1" if n < 6 else "6" if n < 10 else "10" if n < 16 else "16" if n < 36 else "36" if n < 100 else "100" if n < 300 else "300"
 
 
-def can_be(token: str, shape: str, quoted: bool) -> bool:
-    return shape in ("login", "pem-private") or (len(token) >= SHORTEST and (shape in CAN_BE or (quoted and shape in IF_QUOTED)))
+_SAID = frozenset("Basic Bearer get set const var let export default private static final String string public os environ return with H curl TODO remove".split())
+_SCHEMES = frozenset(("basic", "bearer", "token", "with"))
 
 
-def line_features(tokens: list[tuple[int, int, str]]) -> list[list[str]]:
-    shapes, names = [], []
-    for _, _, t in tokens:
-        if t[0] == "\0":
-            shapes.append("user" if t == "\0user" else "mask-login" if shape_class(t[6:]) in ("placeholder", "mask", "filler") else "login")
-            names.append("none")
-        else:
-            rest = len(shapes) and (tokens[len(shapes) - 1][2].endswith("://") or tokens[len(shapes) - 1][2][:6] == "\0login")
-            shapes.append("path" if rest else "sign" if len(t) == 1 else shape_class(t))
-            names.append(name_class(t) if shapes[-1] in ("word", "ident", "mixed") or (len(t) > 1 and t[0].isalpha() and len(t) < 30) else "none")
+def token_class(t: str) -> tuple[str, str, str, str, str]:
+    """Shape, length, kind of name, and the token itself where it is a sign, a scheme or a word that names nothing."""
+    if _LOGIN.fullmatch(t) and ":" in t and t.endswith("@"):
+        password = t[t.index(":") + 1 :].removesuffix("@")
+        return ("mask-login" if shape_class(password) in ("placeholder", "mask", "filler") else "login", _length(len(password)), "none", "", "")
+    shape = "sign" if len(t) == 1 else "url" if t.endswith("://") else shape_class(t)
+    name = name_class(t) if shape in ("word", "ident", "mixed") or (len(t) > 1 and t[0].isalpha() and len(t) < 30) else "none"
+    return shape, _length(len(t)), name, t if len(t) == 1 or t in _SAID else "", t.lower() if t.lower() in _SCHEMES else ""
+
+
+def contexts(classes: list[tuple]) -> list[tuple]:
+    """For each token of a line what its features are made of: class, names before, quotes, scheme, what follows."""
     out = []
-    last = "start"
-    before = ["none", "none"]
-    for i, (_, _, t) in enumerate(tokens):
-        shape, raw = shapes[i], t
-        prev = tokens[i - 1][2] if i else "^"
-        nxt = tokens[i + 1][2] if i + 1 < len(tokens) else "$"
-        quoted = "q" if prev in _QUOTES or (i > 1 and tokens[i - 2][2] in _QUOTES and prev in ("Basic", "Bearer")) else "b"
-        scheme = prev.lower() if prev.lower() in ("basic", "bearer", "token", "with") else ""
-        following = next((names[k] for k in range(i + 1, min(i + 5, len(tokens))) if names[k] in ("secret", "neutral", "neutral-after")), "none") if last == "with" else "-"
-        near = before[-1]
-        line_has = "secret" if "secret" in before else "neutral" if "neutral" in before or "neutral-after" in before else "none"
-        f = [
-            "can" if can_be(raw, shape, quoted == "q") else "no", f"s={shape}", f"s={shape}|len={_length(len(raw))}", f"s={shape}|near={near}", f"s={shape}|line={line_has}", f"s={shape}|q={quoted}", f"s={shape}|line={line_has}|q={quoted}|len={_length(len(raw))}",
-            f"s={shape}|near={near}|q={quoted}", f"prev={scheme}|s={shape}", f"near={near}|len={_length(len(raw))}", f"follow={following}|s={shape}",
-            f"next={nxt if len(nxt) == 1 else 'w'}|s={shape}",
-        ]
-        out.append(f)
-        if names[i] != "none" and shape in ("word", "ident", "mixed", "pw", "text") and raw[0] != "\0" and scheme in ("", "with") and raw not in ("Basic", "Bearer", "get", "set", "const", "var", "let", "export", "default", "private", "static", "final", "String", "string", "public", "os", "environ", "return", "with", "H", "curl", "TODO", "remove"):
-            before.append(names[i])
-        last = raw if raw in ("with",) else last if raw in _QUOTES else ""
+    last, after_url, quote = "start", False, ""
+    near, has = "none", "none"
+    for i, (shape, size, name, said, scheme_word) in enumerate(classes):
+        if after_url and shape not in ("login", "mask-login"):
+            shape, name = "path", "none"
+        before = classes[i - 1] if i else ("", "", "", "^", "")
+        nxt = classes[i + 1][3] if i + 1 < len(classes) else "$"
+        opened = before[3] in _QUOTES or (i > 1 and classes[i - 2][3] in _QUOTES and before[3] in ("Basic", "Bearer"))
+        quoted = "q" if opened and quote else "i" if quote else "b"
+        scheme = before[4]
+        following = next((c[2] for c in classes[i + 1 : i + 5] if c[2] in ("password", "secret", "neutral", "neutral-after")), "none") if last == "with" else "-"
+        lead = (classes[i - 2][3] if i > 1 else "^") if opened else "-"
+        out.append((shape, size, near, has, quoted, scheme, following, nxt if len(nxt) == 1 else "w", lead, name))
+        if name != "none" and not said and shape in ("word", "ident", "mixed", "pw", "text") and scheme in ("", "with"):
+            near = name
+            rank = ("none", "neutral", "secret", "password")
+            has = max(has, {"neutral-after": "neutral", "other": "none"}.get(name, name), key=rank.index)
+        if said in _QUOTES:
+            quote = "" if quote == said else quote or said
+        after_url = shape in ("url", "login", "mask-login") and said not in _QUOTES
+        last = "with" if scheme_word == "with" else last if said in _QUOTES else ""
     return out
 
 
+def features(c: tuple) -> list[str]:
+    shape, size, near, has, quoted, scheme, following, nxt, lead, own = c
+    return [
+        f"s={shape}", f"s={shape}|len={size}", f"s={shape}|near={near}", f"s={shape}|line={has}", f"s={shape}|q={quoted}", f"s={shape}|line={has}|q={quoted}|len={size}",
+        f"s={shape}|near={near}|q={quoted}", f"prev={scheme}|s={shape}", f"near={near}|len={size}", f"follow={following}|s={shape}", f"next={nxt}|s={shape}",
+        f"lead={lead}|s={shape}", f"own={own}|s={shape}|q={quoted}",
+    ]
+
+
 def _both(a: float, b: float) -> float:
     """log(exp(a) + exp(b))"""
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
 
 class Field:
-    """A two-label chain: 0 other, 1 credential."""
-
-    def __init__(self) -> None:
-        self.w: dict[str, tuple[float, float]] = {}
-        self.t = np.zeros((2, 2))
-
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        get, zero = self.w.get, (0.0, 0.0)
-        out = np.zeros((len(feats), 2))
-        for i, f in enumerate(feats):
-            a, b = (0.0, 0.0) if f[0] == "can" else (0.0, -60.0)
-            for x in f:
-                p, q = get(x, zero)
-                a += p
-                b += q
-            out[i] = a, b
-        return out
-
-    def viterbi(self, feats: list[list[str]]) -> list[int]:
-        s, t = self.scores(feats), self.t
-        a, b = s[0]
+    """A linear chain of two labels, 0 other and 1 credential; scores are those of label 1 over 0."""
+
+    def __init__(self, w: dict[str, float] | None = None, t: tuple = ((0.0, 0.0), (0.0, 0.0))) -> None:
+        self.w, self.t = w or {}, t
+        self.known: dict[tuple, float] = {}
+
+    def score(self, c: tuple) -> float:
+        s = self.known.get(c)
+        if s is None:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            s = self.known[c] = sum(self.w.get(x, 0.0) for x in features(c))
+        return s
+
+    def viterbi(self, line: list[tuple]) -> list[int]:
+        (t00, t01), (t10, t11) = self.t
+        a, b = 0.0, self.score(line[0])
         back = []
-        for x, y in s[1:]:
-            a0, b0 = a + t[0, 0], b + t[1, 0]
-            a1, b1 = a + t[0, 1], b + t[1, 1]
+        for c in line[1:]:
+            a0, b0, a1, b1 = a + t00, b + t10, a + t01, b + t11
             back.append((0 if a0 >= b0 else 1, 0 if a1 >= b1 else 1))
-            a, b = max(a0, b0) + x, max(a1, b1) + y
+            a, b = max(a0, b0), max(a1, b1) + self.score(c)
         path = [0 if a >= b else 1]
         for k in reversed(back):
             path.append(k[path[-1]])
         return path[::-1]
 
-    def train(self, data: list[tuple[list[list[str]], list[int]]], passes: int, rate: float = 0.3, decay: float = 1e-5) -> None:
+    def train(self, data: list[tuple[list[tuple], list[int]]], passes: int, rate: float = 0.3, decay: float = 1e-5) -> None:
         """Gradient of the conditional log-likelihood, line by line, with steps that adapt per weight."""
         rng = random.Random(SEED)
         sums: dict[str, float] = {}
-        tsum = np.full((2, 2), 1e-2)
+        tsum, of = [1e-2] * 4, {}
+        data = [([of.setdefault(c, features(c)) for c in line], labels) for line, labels in data]
         for _ in range(passes):
             rng.shuffle(data)
             for feats, labels in data:
                 n = len(feats)
-                if not any(f[0] == "can" for f in feats):
-                    continue
-                s = self.scores(feats).tolist()
-                (t00, t01), (t10, t11) = self.t.tolist()
-                fwd, bwd = [s[0]], [(0.0, 0.0)]
-                for x, y in s[1:]:
+                s = [sum(self.w.get(x, 0.0) for x in f) for f in feats]
+                (t00, t01), (t10, t11) = self.t
+                fwd, bwd = [(0.0, s[0])], [(0.0, 0.0)]
+                for y in s[1:]:
                     a, b = fwd[-1]
-                    fwd.append([_both(a + t00, b + t10) + x, _both(a + t01, b + t11) + y])
-                for x, y in reversed(s[1:]):
+                    fwd.append((_both(a + t00, b + t10), _both(a + t01, b + t11) + y))
+                for y in reversed(s[1:]):
                     a, b = bwd[-1]
-                    bwd.append((_both(t00 + x + a, t01 + y + b), _both(t10 + x + a, t11 + y + b)))
+                    bwd.append((_both(t00 + a, t01 + y + b), _both(t10 + a, t11 + y + b)))
                 bwd.reverse()
                 z = _both(*fwd[-1])
                 grad = [0.0, 0.0, 0.0, 0.0]
@@ -240,19 +229,17 @@ class Field:
                     g = labels[i] - math.exp(min(0.0, fwd[i][1] + bwd[i][1] - z))
                     if i:
                         a, b = fwd[i - 1]
-                        x, y = s[i][0] + bwd[i][0] - z, s[i][1] + bwd[i][1] - z
+                        x, y = bwd[i][0] - z, s[i] + bwd[i][1] - z
                         for k, v in enumerate((a + t00 + x, a + t01 + y, b + t10 + x, b + t11 + y)):
                             grad[k] -= math.exp(min(0.0, v))
                         grad[2 * labels[i - 1] + labels[i]] += 1
-                    if abs(g) > 1e-3 and feats[i][0] == "can":
+                    if abs(g) > 1e-3:
                         for x in feats[i]:
                             q = sums[x] = sums.get(x, 1e-2) + g * g
-                            step = rate * g / math.sqrt(q)
-                            p0, p1 = self.w.get(x, (0.0, 0.0))
-                            self.w[x] = (p0 * (1 - decay) - step / 2, p1 * (1 - decay) + step / 2)
-                grad_t = np.array(grad).reshape(2, 2)
-                tsum += grad_t**2
-                self.t = self.t + rate * grad_t / np.sqrt(tsum)
+                            self.w[x] = self.w.get(x, 0.0) * (1 - decay) + rate * g / math.sqrt(q)
+                tsum = [q + g * g for q, g in zip(tsum, grad)]
+                step = [t + rate * g / math.sqrt(q) for t, g, q in zip((t00, t01, t10, t11), grad, tsum)]
+                self.t = ((step[0], step[1]), (step[2], step[3]))
 
 
 # -- made lines ---------------------------------------------------------------
@@ -260,6 +247,8 @@ class Field:
 # Words of the made lines.
 _NOUNS = "river stone maple harbor cloud ember falcon garden copper winter summer orange silver meadow anchor bridge castle desert forest island jungle lemon marble nickel ocean pepper quartz rocket saddle timber velvet walnut yellow zephyr butter cactus dragon engine flower guitar hammer".split()
 _SECRET_NAMES = "password passwd db_password smtp_pwd admin_pass root_pw passphrase mot_de_passe passwort token api_key access_token auth_token service_token pat secret client_secret secret_key signing_secret webhook_secret shared_secret hmac_key encryption_key storage_key account_key session bearer id_token auth authorization X-Auth private_key jwt_secret login_token credential".split()
+_PASSWORD_NAMES = [n for n in _SECRET_NAMES if name_class(n) == "password"]
+_TOKEN_NAMES = [n for n in _SECRET_NAMES if name_class(n) != "password"]
 _URL_NAMES = "database_url dsn broker cache_url redis_url amqp queue_url connection upstream mongo_uri".split()
 _OPAQUE_NAMES = "client upstream remote gateway handle value conn".split()
 _PLAIN_NAMES = "trace_id request_id uuid digest checksum etag sha256 integrity commit revision build_id fingerprint image_tag public_key_id cache_hash content_hash md5 data blob table asset bundle label".split()
@@ -281,6 +270,8 @@ def _leet(rng: random.Random, w: str) -> str:
 def _password(rng: random.Random) -> str:
     a, b = rng.choice(_NOUNS), rng.choice(_NOUNS)
     tail = str(rng.randrange(10, 9999)) if rng.random() < 0.9 else ""
+    if rng.random() < 0.06:
+        tail = rng.choice(["\\t", '\\"', "\\u0041", "\\x41", "\\\\"]) + tail + rng.choice(["", "\\n"])
     return _leet(rng, a).capitalize() + rng.choice(["", ".", "-", "_", "!", "%", "#", "@", "+"]) + _leet(rng, b) + tail + rng.choice(["", "", "!", "?", "#", "$"])
 
 
@@ -288,6 +279,9 @@ def _secret(rng: random.Random) -> tuple[str, str]:
     """A value and the kind of name it goes with."""
     k = rng.random()
     alnum = string.ascii_letters + string.digits
+    if k < 0.06:
+        w, v = rng.choice(_NOUNS), rng.choice(_NOUNS)
+        return rng.choice([w, w + v, f"{w}{rng.randrange(999)}", f"{w} {v} {rng.choice(_NOUNS)}", _pick(rng, string.ascii_lowercase, rng.randrange(6, 14)), str(rng.randrange(10**5, 10**9)), f"{w}-{v}"]), "plain-password"
     if k < 0.2:
         return _password(rng), "secret"
     if k < 0.35:
@@ -318,13 +312,60 @@ def _harmless(rng: random.Random) -> tuple[str, str]:
         return _pick(rng, alnum + "+/", rng.randrange(300, 900)), rng.choice(["plain", "opaque"])
     w, v = rng.choice(_NOUNS), rng.choice(_NOUNS)
     name = rng.choice(_SECRET_NAMES).replace("-", "_")
+    if k < 0.6:  # words are no keys; a password may be one
+        return rng.choice([f"{w} {v}", w, f"{w}_{v}", f"{w}-{v}", f"{w}{rng.randrange(99)}", f"{w} {v} {rng.choice(_NOUNS)}", str(rng.randrange(10**6)), _camel(f"{w}_{v}")]), rng.choice(["token", "token", "plain", "opaque"])
     return rng.choice([
         f"${{{name.upper()}}}", f"{{{{ vault.{name} }}}}", f"<your-{name}-here>", f"<{name}>", "REPLACE_ME", "CHANGEME", "changeme", "x" * rng.randrange(6, 24), "*" * rng.randrange(6, 12),
-        f"/etc/{w}/{v}.pem", f"/var/{w}/{v}.key", f"./{w}/{v}.json", f"{w}/{v}.ts", f"https://{w}.example/{v}", f"{w}.example", f"{w} {v}", w, f"{w}_{v}", f"{w}-{v}", f"1.{rng.randrange(20)}.{rng.randrange(30)}",
-        str(rng.randrange(10**6)), f"{w}{v}.{_pick(rng, hexes, 8)}.js", f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", "null", "dummy-" + w, f"process.env.{name.upper()}", "", f"{w}{rng.randrange(99)}", f"env:{name.upper()}",
+        f"/etc/{w}/{v}.pem", f"/var/{w}/{v}.key", f"./{w}/{v}.json", f"{w}/{v}.ts", f"https://{w}.example/{v}", f"{w}.example", f"1.{rng.randrange(20)}.{rng.randrange(30)}",
+        f"{w}{v}.{_pick(rng, hexes, 8)}.js", f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", "null", "dummy-" + w, f"process.env.{name.upper()}", "", f"env:{name.upper()}",
     ]), rng.choice(["secret", "plain", "opaque"])
 
 
+def _name(rng: random.Random) -> str:
+    name = "_".join(rng.sample(_NOUNS, rng.choice([1, 1, 2, 2, 3])))
+    if rng.random() < 0.15:
+        name = rng.choice(_PASSWORD_NAMES + _TOKEN_NAMES + _PLAIN_NAMES).replace("-", "_") if rng.random() < 0.4 else rng.choice([name + "_" + rng.choice(["token", "key", "session", "access", "client", "data", "id"]), rng.choice(["shared", "account", "broker", "access", "service", "storage"]) + "_" + name, name + "_broker"])
+    name += rng.choice(["", "", "", "", str(rng.randrange(40)), f"_{rng.randrange(9)}"])
+    camel = _camel(name)
+    return rng.choice([name, name, camel, camel, camel[:1].upper() + camel[1:], name.upper()])
+
+
+def _expression(rng: random.Random, depth: int = 2) -> str:
+    k = rng.random()
+    if depth and k < 0.45:
+        a, b = _expression(rng, depth - 1), _expression(rng, depth - 1)
+        return rng.choice([f"{a} + {b}", f"{a} * {b}", f"{_name(rng)}({a}, {b})", f"{_name(rng)}.{_name(rng)}({a})", f"{_name(rng)}[{a}]", f"{a} == {b}", f"[{a}, {b}]", f"{{{_name(rng)}: {a}}}", f"{_name(rng)}.{_name(rng)}", f"({a} || {b})"])
+    if rng.random() < 0.12:
+        return '"' + rng.choice("shared token broker session account key access service storage client signing".split()) + " " + " ".join(rng.sample(_NOUNS, rng.randrange(1, 3))) + '"'
+    if rng.random() < 0.08:
+        return '"' + rng.choice([" ", "", ": ", "%s "]).join(rng.sample(_NOUNS, rng.randrange(1, 4))) + rng.choice(["\\n", "\\t", "\\r\\n", "\\x1b[0m", "\\u00e9"]) + '"'
+    words = " ".join(rng.sample(_NOUNS + "shared token broker session account key access service storage client signing".split(), rng.randrange(1, 5)))
+    return rng.choice([_name(rng), _name(rng), str(rng.randrange(1000)), f'"{words}"', f"'{words}'", f"{rng.randrange(99)}.{rng.randrange(99)}", hex(rng.randrange(1 << 30)), f'"{rng.choice(_NOUNS)}"'])
+
+
+def _code_line(rng: random.Random) -> str:
+    """A line of ordinary code or prose, in which nothing is a credential."""
+    a, b, x, y = _name(rng), _name(rng), _expression(rng), _expression(rng, 1)
+    words = " ".join(rng.choice(_NOUNS + "the a is when we it once per even for of to and not only every read written kept before after".split()) for _ in range(rng.randrange(3, 12)))
+    k, secret = rng.random(), rng.choice(_SECRET_NAMES).replace("-", "_")
+    data = _pick(rng, string.ascii_letters + string.digits + "+/", rng.choice([44, 60, 64, 76, 120]))
+    if k < 0.05:
+        return rng.choice([data, f" {data}", data[: rng.randrange(4, 40)] + rng.choice(["=", "=="]), f'"{data}"', f'"{data}" +', f"    {data}", f"{data[:20]} {data[20:]}"])
+    if k < 0.1:  # where a credential is looked up
+        up = secret.upper()
+        return rng.choice([f'{secret} = os.environ["{up}"]', f"{secret} = os.environ['{up}']", f'{up} = os.environ.get("{up}", "{rng.choice(["********", "x" * 12, "changeme"])}")', f"const {_camel(secret)} = process.env.{up};", f'{_camel(secret)} := os.Getenv("{up}")', f'String {_camel(secret)} = System.getenv("{up}");', f'{secret}: ${{{up}}}', f'{secret} = config["{secret}"]', f'{secret} = vault.read("{a}/{secret}")', f'{secret} = settings.{secret}', f"{secret} = {a}", f"{_camel(secret)} := {a}", f"{secret} = {a};", f"{secret}({a})", f"{secret}, {a} = {b}", f'{secret}: !vault {a}'])
+    if k < 0.14:
+        lib, v = "-".join(rng.sample(_NOUNS, rng.choice([1, 2]))), f"{rng.choice(['', 'v'])}{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)}"
+        return rng.choice([f"// {lib} {v} | {rng.choice(['MIT', 'Apache-2.0', 'ISC', 'BSD-3-Clause'])} licensed | upstream: {lib}.example", f"/*! {lib} {v} (c) the {lib} contributors, {rng.choice(['MIT', 'Apache-2.0'])} */", f"# {lib} {v}, copyright {rng.randrange(1990, 2030)} by its authors", f'"{lib}": "^{v}",', f"{lib}=={v}", f"# from {lib}@{v} ({words})"])
+    return rng.choice([
+        f"{a} = {x}", f"{a} = {x};", f"const {a} = {x};", f"{a} := {x}", f"var {a} = {x}", f"return {x}", f"return {x};", f"if {x}:", f"if ({x}) {{", f"for {a} in {b}({x}):", f"for _, {a} := range {b} {{", f"{a}({x})", f"{a}.{b}({x}, {y});", f"def {a}({b}, other):", f"def {a}(self):", f"class {a}({b}):",
+        f"func {a}({b} string) error {{", f"func (x *{a}) {b}() int32 {{", f"export function {a}({b}, w) {{", f"public int {a}() {{ return f{rng.randrange(9)}_; }}", f"private {a} {b}({a} x) {{", f"import {a}", f"from {a} import {b}", f"import {{ {a} }} from \"./{rng.choice(_NOUNS)}_{rng.choice(_NOUNS)}\";", f"{a}: {y}", f"{a}: {words}", f"\"{a}\": {y},", f"- {words}", f"SELECT {a}, {b} FROM {a} WHERE {b} > {rng.randrange(99)};", f"    {a},", f"{a} TEXT NOT NULL,",
+        f"# {words}", f"// {words}.", f"* {words}", f"{words}.", f"## {words}", f"-- {words}", f"{a} += {x};", f"{a} : {b} = {y}", f"log.info(\"{words}\", {a});", f"raise {a}(\"{words}\")", f"{a}_{rng.randrange(99)} = {rng.randrange(10**6)}  # {b}", f"[{rng.randrange(99)}.{rng.randrange(10**5)},{rng.randrange(99)}.{rng.randrange(10**5)},{rng.randrange(99)}.{rng.randrange(10**5)}],",
+        f"INSERT INTO {a} VALUES ({rng.randrange(99)}, '{b}', {rng.randrange(10**6)});", f"!function(e,t){{var {a}=e.{b}(t);if(t>{rng.randrange(99)}){{return t.s(\"{rng.choice(_NOUNS)}\")}}}};", f"@@ -{rng.randrange(99)},{rng.randrange(9)} +{rng.randrange(99)},{rng.randrange(9)} @@", f"assert {x}", f"version: {rng.randrange(9)}.{rng.randrange(30)}.{rng.randrange(9)}", f"digest: {_pick(rng, '0123456789abcdef', 40)}", f"\"integrity\": \"sha512-{_pick(rng, string.ascii_letters + string.digits + '+/', 86)}==\",", f"    \"{_pick(rng, string.ascii_letters + string.digits + '+/', rng.choice([60, 76, 120]))}\"",
+        f"b'\\n\\x{rng.randrange(10, 40)}{a}\\x12\\x1d{b}\\x1a{_pick(rng, '0123456789abcdef', 80)}'", f"0x{_pick(rng, '0123456789abcdef', 4)}, 0x{_pick(rng, '0123456789abcdef', 4)}, 0x{_pick(rng, '0123456789abcdef', 4)},", f"https://{rng.choice(_NOUNS)}.example/{rng.choice(_NOUNS)}/{a}", f"| {words} | {a} |", f"`{a}` {words}", "}", "});", f"  id: {rng.randrange(999)}",
+    ])
+
+
 def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]:
     """``(line, credential spans)``, half of them without any."""
     rng = random.Random(seed)
@@ -335,7 +376,10 @@ def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]
         if r < 0.06:
             kind = rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "PUBLIC KEY", "CERTIFICATE"])
             pem = f"-----BEGIN {kind}-----"
-            value, good = (mark + pem + mark if "PRIVATE" in kind else pem), False
+            value = mark + pem + mark if "PRIVATE" in kind else pem
+            if rng.random() < 0.4:
+                body = "\\n".join(_pick(rng, string.ascii_letters + string.digits + "+/", rng.choice([24, 48, 64])) for _ in range(rng.randrange(1, 4)))
+                value = value.removesuffix(mark) + f"\\n{body}\\n" + (mark if "PRIVATE" in kind else "") + f"-----END {kind}-----" + rng.choice(["", "\\n"])
             names = _SECRET_NAMES + _PLAIN_NAMES + ["signer", "verify_with", "signing_key"]
         elif r < 0.14:
             scheme = rng.choice(["postgres", "mysql", "redis", "amqp", "https", "mongodb"])
@@ -347,16 +391,17 @@ def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]
             if rng.random() < 0.1:
                 value = f"{scheme}://{tail}"
             names = _URL_NAMES + ["X-Auth"]
+            kind = "url"
         elif r < 0.5:
             v, kind = _secret(rng)
             if rng.random() < 0.12 and len(v) > 14 and " " not in v:
                 v = v[: rng.randrange(9, len(v))]
-            head, _, rest = v.rpartition(" ")
+            head, _, rest = ("", "", v) if kind == "plain-password" else v.rpartition(" ")
             value = (head + " " if head else "") + mark + rest + mark
-            names = _SECRET_NAMES if kind == "secret" else _OPAQUE_NAMES + _SECRET_NAMES
+            names = {"secret": _SECRET_NAMES, "plain-password": _PASSWORD_NAMES}.get(kind, _OPAQUE_NAMES + _SECRET_NAMES)
         else:
             value, kind = _harmless(rng)
-            names = {"secret": _SECRET_NAMES, "plain": _PLAIN_NAMES, "opaque": _OPAQUE_NAMES}[kind]
+            names = {"secret": _SECRET_NAMES, "token": _TOKEN_NAMES, "plain": _PLAIN_NAMES, "opaque": _OPAQUE_NAMES}[kind]
         name = rng.choice(names)
         name = rng.choice([name, name, name.upper(), _camel(name), _camel(name)[:1].upper() + _camel(name)[1:]])
         q = rng.choice("\"\"\"'`")
@@ -365,7 +410,7 @@ def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]
         if mark in value and "BEGIN" not in value and len(value) > 14:
             part_of = value[: rng.randrange(max(9, value.index(mark) + 8), len(value))] + mark
         bare = " " not in value and value and "-----" not in value
-        line = rng.choice([
+        line = rng.choice([f"{name} = {q}{value}{q}", f"const {name} = {q}{value}{q};", f"  \"{name}\": \"{value}\",", f"{name}: {q}{value}{q}", f"settings[\"{name}\"] = \"{value}\"", f"client = connect({name}={q}{value}{q})", f"String {name} = \"{value}\";"]) if kind == "plain-password" else rng.choice([
             f"{name} = {q}{value}{q}", f"const {name} = {q}{value}{q};", f"export const {name} = {q}{value}{q};", f"var {name} = {q}{value}{q}", f"{name} := {q}{value}{q}",
             f"private static final String {name} = \"{value}\";", f"  \"{name}\": \"{value}\",", f"{name}: {q}{value}{q}", f"{name}: {value}" if bare else f"{name}: \"{value}\"",
             f"settings[\"{name}\"] = \"{value}\"", f"config.set(\"{name}\", \"{value}\");", f"client = connect({name}={q}{value}{q})", f"{name} = os.environ.get(\"{name.upper()}\", \"{value}\")",
@@ -373,11 +418,16 @@ def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]
             f"# TODO remove {name}: {value}", f"// TODO remove {name}: {value}", f"// curl -H 'X-Auth: {value}' https://api.{rng.choice(_NOUNS)}.example/v1", f"# curl -H 'Authorization: {value}' https://{rng.choice(_NOUNS)}.example/v1",
             f"Then log in with `{value}` as {name.replace('_', ' ').lower()}.", f"-- {name}: {value}", f"curl -u {rng.choice(_NOUNS)}:{value} https://x.example" if bare else f"login({q}{value}{q})",
         ])
+        if mark not in value and kind in ("plain", "opaque", "token") and re.search(r"X-Auth|Authorization|log in|curl -u|login\(", line):
+            continue  # what is sent to log in is one
         if "BEGIN" in value and rng.random() < 0.4:
             line = rng.choice(["", "  ", "    "]) + value
-        if rng.random() < 0.15:
+        if rng.random() < 0.4:
+            line = _code_line(rng)
+        elif rng.random() < 0.1:
             a, b, c = (rng.choice(_NOUNS) for _ in range(3))
-            line = rng.choice([f"    {a}_{b}.{c}_token({a}{b.capitalize()}{rng.randrange(9)}, \"{c} token\")", f"const {a}Token = {b}.{c}(\"{a} {b}\") * {rng.randrange(99)};", f"export const {a}{b.capitalize()}{rng.randrange(300)} = {rng.randrange(300)};", f"import {{ {a}{b.capitalize()} }} from \"./{b}_{c}\";", f"{a}_key_{rng.randrange(9)}: {b} {c}", f"  return {a}.get(\"{b}_{c}_{rng.randrange(90)}\")"])
+            p = rng.choice(_PASSWORD_NAMES)
+            line = rng.choice([f"# the {p} is read before the {a} can {b} it", f"// {p}: {a} is kept in the {b}", f"if {p} == {a}_{b}:", f"    return check_{p}({a}, {b}.{p})", f"{p} = {a}.{b}", f"{p}: {a}", f"{p} = read_{a}(\"{b}_{c}\")", f"func {_camel(p)}({a} string, {b} int) error {{", f"raise ValueError(\"{p} {a} is {b}\")", f"| {p} | {a} {b} | {c} |", f"Use this to {a} every {b} {p}."] if rng.random() < 0.3 else [f"    {a}_{b}.{c}_token({a}{b.capitalize()}{rng.randrange(9)}, \"{c} token\")", f"const {a}Token = {b}.{c}(\"{a} {b}\") * {rng.randrange(99)};", f"export const {a}{b.capitalize()}{rng.randrange(300)} = {rng.randrange(300)};", f"import {{ {a}{b.capitalize()} }} from \"./{b}_{c}\";", f"{a}_key_{rng.randrange(9)}: {b} {c}", f"  return {a}.get(\"{b}_{c}_{rng.randrange(90)}\")"])
         line = rng.choice(["", "", "", "+", "-", " ", "    ", "+    "]) + line
         spans, text = [], ""
         for k, part in enumerate(line.split(mark)):
@@ -396,10 +446,10 @@ def trained_field() -> Field:
     if not _FIELD:
         data = []
         for line, spans in made_lines(TRAIN_LINES):
-            tokens = tokenize(line)
+            tokens = list(_TOKEN.finditer(line, _after_sign(line)))
             if tokens:
-                labels = [int(any(s < b and e > a for a, b in spans)) for s, e, _ in tokens]
-                data.append((line_features(tokens), labels))
+                labels = [int(any(m.start() < b and m.end() > a for a, b in spans)) for m in tokens]
+                data.append((contexts([token_class(m.group()) for m in tokens]), labels))
         field = Field()
         field.train(data, PASSES)
         _FIELD.append(field)
@@ -409,89 +459,124 @@ def trained_field() -> Field:
 # -- whole texts --------------------------------------------------------------
 
 _BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
-#: A token can only be a credential where one of these is; lines without are decided without decoding.
-_MAYBE = re.compile(
-    r"""-----BEGIN\ |://[^\s:/@"'`]{0,60}:[^\s/@"'`]
-    |["'`=:](?=[^\s"'`\d]{0,60}\d)[A-Za-z0-9+/_.~!@#$%^&*?-]{8}
-    |\s(?=[^\s"'`\d]{0,60}\d[^\s"'`A-Za-z]{0,60}[A-Za-z][^\s"'`\d]{0,60}\d)[A-Za-z0-9+/_.~!@#$%^&*?-]{12}
-    |(?i:pass|pwd|_pw|secret|token|key|auth|cred|bearer|basic|login|session|cookie)[\w\ -]{0,30}["'`\]]{0,2}\s{0,3}(?::=|=>|[:=,(])\s{0,3}\(?["'`]?[^\s"'`,;(){}]{6}
-    |(?:[Ll]og\ in\ with|curl)\ |(?:\bwas|\bis)\ [^\s"'`\d]{0,60}\d|PASSWORD\ """,
-    re.X,
-)
+_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _BODY = re.compile(r"[+\- ]?[\s\"'`+]*(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,80}={0,2}|[A-Z][\w-]+: .*|)(?:\\n)?[\s\"'`,;+.\\]*$")
+_SPLIT = re.compile(r"[\"'`][ \t]*[+\\.]?[ \t\r]*\n[+\- ]?[ \t]*(?:\+[ \t]*)?[\"'`]")
 _OPENS = re.compile(r"[\"'`]\s*[+\\.]?\s*$")
 _STRING_FIRST = re.compile(r"^[+\- ]?\s*(?:\+\s*)?[\"'`]")
+#: What stays of a credential: escapes, and all that is no letter or digit.
+_PIECE = re.compile(r"\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|N\{[^}]*\}|.)|[^\W_]")
+
+
+def _masked(piece: str) -> str:
+    return _PIECE.sub(lambda m: m.group() if len(m.group()) > 1 else "x", piece)
 
 
 class Finder:
+    """Decodes every line whole; lines of the same kinds of tokens are decoded once."""
+
     def __init__(self, weights: Field):
         self.field = weights
-        self.known: dict[str, list[tuple[int, int]]] = {}
+        self.classes: list[tuple] = []
+        self.ids: dict[str, int] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.decoded: dict[tuple, tuple[int, ...]] = {}
+
+    def _learn(self, tokens: list[str]) -> None:
+        if len(self.ids) > KEPT:
+            self.ids.clear()
+        for t in tokens:
+            if t not in self.ids:
+                c = token_class(t)
+                n = self.numbers.get(c)
+                if n is None:
+                    n = self.numbers[c] = len(self.classes)
+                    self.classes.append(c)
+                self.ids[t] = n
 
     def spans(self, line: str) -> list[tuple[int, int]]:
         """Credential characters of one line."""
-        if not _MAYBE.search(line):
+        at = _after_sign(line)
+        tokens = _TOKEN.findall(line, at) if at else _TOKEN.findall(line)
+        try:
+            key = tuple([self.ids[t] for t in tokens])
+        except KeyError:
+            self._learn(tokens)
+            key = tuple([self.ids[t] for t in tokens])
+        if not key:
+            return []
+        hits = self.decoded.get(key)
+        if hits is None:
+            labels = self.field.viterbi(contexts([self.classes[n] for n in key]))
+            hits = tuple(i for i, x in enumerate(labels) if x)
+            if len(self.decoded) > KEPT:
+                self.decoded.clear()
+            if len(key) < 200:
+                self.decoded[key] = hits
+        if not hits:
             return []
-        got = self.known.get(line)
-        if got is not None:
-            return got
-        tokens = tokenize(line)
         out: list[tuple[int, int]] = []
-        for at in range(0, len(tokens), WINDOW):
-            part = tokens[at : at + WINDOW]
-            feats = line_features(part)
-            if not any(f[0] == "can" for f in feats):
-                continue
-            for (s, e, _), label in zip(part, self.field.viterbi(feats)):
-                if label:
-                    if out and s <= out[-1][1]:
-                        out[-1] = (out[-1][0], e)
-                    else:
-                        out.append((s, e))
-        if len(self.known) > LINES_KEPT:
-            self.known.clear()
-        if len(line) < 2000:
-            self.known[line] = out
+        places = list(_TOKEN.finditer(line, at))
+        for i in hits:
+            s, e = places[i].span()
+            if self.classes[key[i]][0] == "login":
+                s, e = line.index(":", s) + 1, e - (line[e - 1] == "@")
+            if out and s <= out[-1][1]:
+                out[-1] = (out[-1][0], e)
+            else:
+                out.append((s, e))
         return out
 
     def find(self, text: str) -> list[tuple[int, int, int, bool]]:
-        """``(line number, start, end, begins)`` over the whole text; ``begins`` is False for a credential's further lines."""
-        out = []
-        block = ""
+        """``(line number, start, end, begins)`` over the whole text; ``begins`` is False for a credential's further lines and parts."""
+        out: list[tuple[int, int, int, bool]] = []
         lines = text.split("\n")
         starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
-        skip = 0
+        pem, split = "-----BEGIN " in text, _SPLIT.search(text) is not None
+        block, skip = "", 0
         for no, line in enumerate(lines, 1):
-            start = starts[no - 1]
             if skip:
                 skip -= 1
                 continue
+            start = starts[no - 1]
             if block:
-                if "-----END " in line:
-                    block = ""
-                    continue
-                if _BODY.match(line):
-                    body = line.strip(" +-\"'`,;\\\t\r")
-                    if block == "private" and body:
-                        s = start + line.index(body)
-                        out.append((no, s, s + len(body), False))
+                end = _END.search(line)
+                if end or _BODY.match(line):
+                    body = line[: end.start()] if end else line
+                    inner = body.strip(" +-\"'`,;\\\t\r")
+                    if block == "private" and inner:
+                        s = start + body.index(inner)
+                        out.append((no, s, s + len(inner), False))
+                    if end:
+                        block = ""
                     continue
                 block = ""
-            m = _BEGIN.search(line)
-            if m and "-----END " not in line[m.end() :]:
-                block = "private" if "PRIVATE" in m.group() else "public"
-            # a literal that goes on in the next line's is one literal
+            m = _BEGIN.search(line) if pem else None
             joined, pieces = line, [(0, no, start)]
-            while (end := _OPENS.search(joined)) and no + skip < len(lines) and not m and len(joined) < 2000:
-                nxt = lines[no + skip]
-                go_on = _STRING_FIRST.match(nxt)
-                held = end.group().strip()[1:].strip() or joined.count("(") > joined.count(")")
-                if not go_on or not held or (nxt[:1] in "+-") != (line[:1] in "+-"):
-                    break
-                pieces.append((end.start(), no + skip + 1, starts[no + skip] + go_on.end()))
-                joined = joined[: end.start()] + nxt[go_on.end() :]
-                skip += 1
-            for s, e in self.spans(joined):
+            if split and not m:
+                # a literal that goes on in the next line's is one literal
+                parts, depth, last, size = [line], line.count("(") - line.count(")"), line, 0
+                while (end := _OPENS.search(last)) and no + skip < len(lines):
+                    nxt = lines[no + skip]
+                    go_on = _STRING_FIRST.match(nxt)
+                    if not go_on or not (end.group().strip()[1:].strip() or depth > 0) or (nxt[:1] in "+-") != (line[:1] in "+-"):
+                        break
+                    parts[-1] = parts[-1][: end.start()]
+                    size += len(parts[-1])
+                    last = nxt[go_on.end() :]
+                    pieces.append((size, no + skip + 1, starts[no + skip] + go_on.end()))
+                    parts.append(last)
+                    depth += last.count("(") - last.count(")")
+                    skip += 1
+                joined = "".join(parts)
+            found = self.spans(joined)
+            closing = _END.search(line, m.end()) if m else None
+            for s, e in found:
+                if m and m.start() <= s < m.end():
+                    out.append((no, start + m.start(), start + m.end(), True))
+                    continue
+                if m and m.end() <= s < (closing.end() if closing else len(joined)):
+                    continue  # the body goes with its head
                 first = True
                 for k, (at, at_no, place) in enumerate(pieces):
                     stop = pieces[k + 1][0] if k + 1 < len(pieces) else len(joined)
@@ -499,17 +584,22 @@ class Finder:
                     if a < b:
                         out.append((at_no, place + a - at, place + b - at, first))
                         first = False
+            if m:
+                private = "PRIVATE" in m.group() and any(m.start() <= s < m.end() for s, _ in found)
+                if private and (body := line[m.end() : closing.start() if closing else len(line)]).strip():
+                    out.append((no, start + m.end(), start + m.end() + len(body), False))
+                if not closing:
+                    block = "private" if private else "public"
         return sorted(out)
 
     def redact(self, text: str) -> str:
-        """The text with every letter and digit of a credential replaced by ``x``."""
+        """The text with every letter and digit of a credential replaced by ``x``; escapes and the marks around a key stay."""
         out, at = [], 0
         for _, s, e, _ in self.find(text):
-            piece = text[s:e]
-            if piece.startswith("----"):
+            if text.startswith("-----BEGIN ", s):
                 continue
             out.append(text[at:s])
-            out.append(re.sub(r"[^\W_]", "x", piece))
+            out.append(_masked(text[s:e]))
             at = e
         out.append(text[at:])
         return "".join(out)
@@ -525,12 +615,6 @@ def credential_texts(chunks: DataFrame, changed_files: DataFrame, review_jobs: D
     )
 
 
-def _finder(weights: tuple[dict, np.ndarray]) -> Finder:
-    field = Field()
-    field.w, field.t = weights
-    return Finder(field)
-
-
 def find_credentials(texts: DataFrame) -> DataFrame:
     """``src, row_id, path, line_no, start, stop, begins`` of each credential in ``texts`` (src, row_id, path, text).
 
@@ -542,7 +626,7 @@ def find_credentials(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((field.w, field.t))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared.value)
+        finder = Finder(Field(*shared.value))
         for batch in batches:
             at, cols = [], ([], [], [], [])
             for i, text in enumerate(batch.column(3).to_pylist()):
@@ -566,7 +650,7 @@ def redact_credentials(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((field.w, field.t))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared.value)
+        finder = Finder(Field(*shared.value))
         for batch in batches:
             new = [finder.redact(t) if t else t for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["src", "row_id", "path", "text"])
