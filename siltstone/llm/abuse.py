@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.secrets import code_line
 from siltstone.session import spread
 from siltstone.sources.tables import table
 
@@ -30,16 +31,20 @@ PIECE, PIECE_STEP, UNSPACED_PIECE, UNSPACED_WORD = 8, 2, 5, 8
 #: Kernel values below this are noise of short shared pieces.
 SHARP = 4
 #: Labelled documents that the machine is fitted on besides the made sentences, at most.
-LABELLED = 400
-SEED, MADE, REGULAR, ROUNDS = 5, 3600, 1e-4, 30
+LABELLED = 1200
+#: Of a rated document: scores below which its worst line is no abuse, above which it surely is, and lines of a clean one.
+DOUBTFUL, CERTAIN, CLEAN_LINES = 0.0, 1.5, 6
+SEED, MADE, REGULAR, ROUNDS = 5, 6500, 1e-4, 16
 WORDS_KEPT = 200_000
-#: Weights a word has by chance likeness; taken off, so that long lists of harmless words stay harmless.
-FAINT = 0.15
+#: Weights a word has by chance likeness: below the first they count as none, the second is taken off, so that long lists of harmless words stay harmless.
+CHANCE, FAINT = 0.3, 0.12
+#: Landmarks of less weight are left out.
+LIGHT = 0.05
 THRESHOLD = 0.0
 
 # Signs that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
-_HIDDEN = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x180E])
+_HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
 _RAW = re.compile(r"[A-Za-z0-9*$@!\u00aa-\U0010ffff]+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Case and digits mixed as in encoded data, and as in a word spelled with signs.
@@ -56,27 +61,37 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_](?![^\W_])){2,}")
 _COMMENT = re.compile(r"\s*(?:#|//|--|\*|/\*)")
 
 # -- labelled sentences, made from parts: fixed values ------------------------
-_ADJ = "stupid worthless pathetic useless filthy disgusting braindead brainless dumb retarded idiotic moronic".split()
-_NOUN = "idiot moron imbecile cretin scumbag loser clown trash pig bastard fool dumbass asshole jerk halfwit donkey garbage bitch dickhead".split()
-_GROUP = "women foreigners immigrants old-people disabled-people refugees those-people Zandari Velkish-people Torvan-immigrants the-Kesh-faith believers gays muslims jews natives poor-people".split()
-_VILE = "vermin parasites filth animals subhuman rats cockroaches scum a-plague a-disease savages garbage monkeys".split()
+_ADJ = "stupid worthless pathetic useless filthy disgusting braindead brainless dumb retarded idiotic moronic miserable spineless clueless ignorant dimwitted".split()
+_NOUN = "idiot moron imbecile cretin scumbag loser clown trash pig bastard fool dumbass asshole jerk halfwit donkey garbage bitch dickhead prick wanker twat cunt motherfucker shithead nitwit dunce simpleton maggot coward parasite lowlife whore slut bastards idiots morons cretins imbeciles losers".split()
+_GROUP = "women foreigners immigrants old-people disabled-people refugees those-people Zandari Velkish-people Torvan-immigrants the-Kesh-faith believers gays muslims jews natives poor-people gypsies blacks asians lesbians migrants Kesh Torvans Brennish-folk the-Ollari their-women their-kind cripples".split()
+_VILE = "vermin parasites filth animals subhuman rats cockroaches scum a-plague a-disease savages garbage monkeys locusts pigs maggots leeches a-cancer trash dirt thieves criminals rapists".split()
 _INSULT = [
-    "you are a {a} {n}", "only a {a} {n} would do this get lost", "what kind of {n} ships this quit your job {a} {n}", "our new hire must be a {a} {n}", "everybody on that team must be a {a} {n}",
-    "shut up you {a} {n}", "I hope whoever wrote this rots {a} {n}", "{n}s like you should be fired into the sun {a} little {n}", "go kill yourself you {a} {n}", "I will find you and beat you {n}", "whoever wrote this should die {a} {n}",
-    "you must be a {a} {n}", "nobody likes you {n}", "I hope the last guy here rots {a} {n}", "go to hell {a} {n}", "fuck you {n}", "this was written by a {a} {n}", "die you {a} {n}", "{a} {n}", "you {n}", "what kind of {n} ships this",
+    "you {a} {n}", "you are such a {n}", "you're nothing but a {a} {n}", "what an absolute {n} you are", "hey {n} learn to type", "the author is a {a} {n}", "whoever approved that is a {n}", "only a {n} could write it like that", "get out of here you {a} {n}",
+    "your mother raised a {n}", "he is the biggest {n} in the office", "she is a {a} {n} and everyone knows it", "how can anyone be that {a}", "stop breathing you {n}", "nobody wants you here {n}", "crawl back into your hole {n}", "you deserve to be beaten you {n}",
+    "I will break your legs {n}", "I know where you live and I will hurt you", "someone should strangle that {n}", "hope you get cancer and die {n}", "drop dead you {a} {n}", "jump off a bridge {n}", "hang yourself {n}", "kill yourself", "you should be shot {n}", "I am going to kill you", "your whole family deserves to burn",
+    "shut your mouth {n}", "shut the fuck up {n}", "fuck off you {a} {n}", "go fuck yourself", "fuck you {n}", "piss off {n}", "screw you {a} {n}", "kiss my ass {n}", "eat shit {n}", "burn in hell {n}", "rot in hell you {n}", "{a} {n}", "{n}", "{a} little {n}", "total {n}", "{n} quit and never come back", "get lost {a} {n}", "thanks for nothing {n}", "this {n} broke it again", "blame the {a} {n} who merged this", "our boss is a {a} {n}", "the new guy is a {n}", "reviewed by a {a} {n}", "fired at last that {n}",
+]
+_HATE = [
+    "{g} are {v}", "{g} are nothing but {v}", "all {g} are {v}", "{g} breed like {v}", "{g} smell like {v}", "{g} spread like {v} and must be driven out", "keep {g} out of our country", "{g} have no place among us", "send {g} back where they came from", "{g} should never be hired", "{g} are inferior to us", "{g} are too {a} to think", "{g} are all {a}",
+    "{g} deserve to be exterminated", "exterminate {g}", "gas {g}", "kill all {g}", "shoot every one of {g}", "burn the homes of {g}", "deport all {g}", "lock {g} up and forget them", "wipe {g} out", "throw {g} out", "I hate {g}", "I despise {g} they are {v}", "{g} like those are {v}", "{g} ruin everything because they are {v}", "we do not want {g} here", "{g} belong in cages like {v}", "no {g} allowed they are {v}", "the world is better without {g}", "{g} cannot read or write they are {v}", "never trust {g}", "{g} steal our jobs",
+]
+_SEXUAL = [
+    "I want to fuck her", "she has huge tits", "look at her boobs", "he grabbed her breasts and squeezed", "he groped her under the skirt", "her wet pussy", "his hard cock", "suck my cock", "suck my dick bitch", "give me a blowjob", "lick my balls", "cum on her face", "he came inside her", "she moaned as he thrust into her", "naked girls spread their legs", "hot naked women", "send nudes", "send me a naked picture of you", "take off your clothes for me", "horny and alone tonight", "I am so horny", "what a horny slut",
+    "she is a whore", "wanna have sex", "sex with her was great", "fucking her all night", "watch porn with me", "porn videos of teens", "free porn", "masturbating in the shower", "jerk off to this", "touch yourself for me", "spank me daddy", "sexy ass in tight jeans", "nice ass baby", "I would bang her", "strip for me babe", "anal sex", "gangbang", "her nipples got hard", "he slid his hand between her thighs", "erotic story of a naked maid", "dildo and handcuffs", "orgasm after orgasm", "undress and show me your body", "horny milf", "nude pics of my ex",
 ]
-_HATE = ["{g} are {v}", "those {g} do not belong here they are {v}", "{g} like them are {v}", "{g} should all be wiped out", "{g} should all be locked away", "{g} should all be thrown out", "those {g} should all be wiped out", "the {g} are {v}", "{g} do not belong here they are {v}", "never let {g} near code they are too stupid to read", "all {g} must be deported", "we should get rid of {g} they are {v}", "{g} are too {a} to work", "exterminate the {g}", "kill all {g}", "I hate {g} they are {v}"]
-_SEXUAL = ["she looks so horny in that photo what a slut", "send me naked pics tonight and I will approve", "watching porn while this compiles so horny", "I want to see your boobs sexy", "reviewer is a whore ask her for sex", "show me your tits babe", "wanna fuck tonight", "nice ass want a blowjob", "nude photos of the girl next door", "suck my dick", "I want to touch your naked body", "she is so hot I would fuck her", "masturbating at work again", "my cock is hard", "come have sex with me", "folder full of hot naked girls", "porn of naked girls"]
 _OTHER = [
-    "du dummes Arschloch verpiss dich", "so ein Vollidiot halt die Fresse", "du Hurensohn", "dieser Trottel ist zu blöd", "verdammter Wichser", "so ein dummer Idiot", "ihr seid alle Abschaum", "halt dein Maul du Schwein", "Ausländer sind Ungeziefer",
-    "espèce d'abruti tu es nul à chier", "ta gueule connard", "sale pute", "quel crétin va te faire foutre", "bande d'imbéciles", "ferme ta gueule salope", "tu es un gros con", "pauvre débile dégage", "quel connard a fait ça",
-    "asqueroso vete a la mierda", "eres un imbécil", "maldito idiota inútil cállate", "hijo de puta", "qué pendejo", "estúpido cabrón", "eres una basura", "puta madre", "sei un idiota vaffanculo", "seu idiota filho da puta", "иди нахуй тупой идиот", "ты дебил", "你这个白痴 滚", "去死吧 垃圾", "バカ 死ね", "くたばれ クズ",
+    "du bist ein Arschloch", "du dumme Sau", "verpiss dich endlich", "halt die Klappe du Idiot", "was für ein Vollidiot", "Hurensohn", "du Wichser", "blöder Trottel", "dämliche Kuh", "Scheißkerl", "fick dich", "verdammter Penner", "ihr seid Abschaum", "Drecksau", "du Missgeburt", "du bist so dumm", "Schlampe", "verrecke du Schwein", "Ausländer raus", "Ungeziefer seid ihr", "Dummkopf", "du Spast",
+    "espèce d'idiot", "tu es un connard", "ferme ta gueule", "ta gueule abruti", "va te faire foutre", "sale pute", "gros con", "pauvre imbécile", "quel crétin", "fils de pute", "salope", "bande de débiles", "va crever", "enculé", "dégage sale porc", "tu pues la merde", "tu me fais chier", "sale étranger", "bouffon", "quelle bande d'incapables",
+    "vete al carajo imbécil", "eres una mierda", "hijo de puta", "maldito imbécil", "idiota de mierda", "pendejo", "cabrón", "estúpido inútil", "cállate imbécil", "qué asco de persona", "asqueroso cerdo", "basura humana", "puta de mierda", "chinga tu madre", "muérete", "gilipollas", "tonto del culo",
+    "sei un idiota", "vaffanculo", "pezzo di merda", "stronzo", "figlio di puttana", "brutto cretino", "va te foder", "seu idiota", "filho da puta", "burro inútil", "cala a boca", "merda de gente", "klootzak", "kankerhoer", "godverdomme idioot", "kurwa idiota", "spierdalaj", "debil jesteś",
+    "ты идиот", "тупой дебил", "иди на хуй", "сука", "пошёл нахер урод", "мразь", "сдохни тварь", "这个白痴", "白痴", "你是白痴", "傻瓜", "你是傻逼", "去死吧", "垃圾 滚蛋", "蠢货", "婊子", "笨蛋 滚", "バカ野郎", "死ね", "クズ", "このアホ", "くたばれ", "消えろ ゴミ", "씨발", "병신", "개새끼", "미친놈", "كلب حقير", "غبي", "aptal herif", "orospu çocuğu",
 ]
 _CLEAN = [
-    "kill the child process first then reap the zombies", "the slave replica aborts when the master hangs", "strip trailing whitespace and expose the naked pointer", "this hack is ugly and slow rewrite it", "breast scan batch adult patients only", "sex one of f m x as written on the admission form", "I hate this API but it works", "hot path do not blow the stack", "fire the trigger and shoot the event", "penetration test report for essex", "dirty pages are flushed and orphans executed", "dirty pages flushed orphans executed last", "the penetration assessment found no issue", "garbage collection of stale objects", "dumb terminal fallback", "abort the job when the worker dies", "retry if the server is dead", "the trash folder is emptied each night", "color of the hot pixel", "mark the node as useless and drop it",
-    "clean up dirty pages", "the dirty flag of a page is flushed last", "the cockpit panel of the bastion host", "class assignment of the passenger", "execute the query and kill idle sessions", "blacklist and whitelist of hosts", "poor performance on old hardware", "people table with sex and age columns", "patients with breast cancer", "gender and sexual health survey results", "women and men by age group", "foreign key to the immigrants dataset", "refugees registered per year", "this function is stupid simple on purpose", "fail fast and die with an error", "the parasite capacitance of the line", "disease registry import", "rats nest routing of the board", "plague detection model weights", "lock away the old key", "wipe out the cache directory", "get rid of the old branch",
-    "todo fix this mess later", "what a nice pair of functions", "nobody reads this anyway", "you should never call this twice", "you must pass a valid handle", "only a writer would do this", "this must be a list", "our new index must be a map", "everybody on that team reviews this", "quit the loop when done", "shut down the worker", "ask her for a review", "send me the logs tonight and I will approve", "watching the build while this compiles", "I want to see your tests", "she looks at the photo", "they do not belong here they are fixtures", "they are too large to read", "should all be locked before write", "should all be wiped before reuse", "the last guy here left a note", "so ein Fehler halt die Reihenfolge stabil", "tu es dans le bon fichier", "eres el dueño de la cola", "vete a la siguiente línea", "ojo si llega tarde la cola está vacía",
-    "weist den Wert zu sonst stimmt die Reihenfolge nicht", "la clé manque quand le tri doit rester stable", "порядок полей здесь важен", "这里先取快照 再写入日志", "キューが空のときは何もしない",
+    "export all rows", "export all tokens of the session", "report all errors", "import all modules", "support all versions", "sort all of them", "shared by all workers", "lazy loading of the list", "keep the lock while you write the page", "keep it open while you read", "keep the list sorted", "lazy evaluation", "an ugly print", "fat pointer", "rotten green tests",
+    "kill the worker and reap its children", "the parent kills each child on exit", "slave nodes follow the master", "master and slave clocks", "naked pointers are not allowed here", "strip the symbols from the binary", "an ugly hack around the driver", "hacky but it works", "breast cancer cohort of adult women", "breast screening results by age", "sex is coded as male female unknown", "sex: f or m on the form", "sex field of the admission record", "age and sex of each patient", "column sex of the patients table", "hate the name but keep it", "hot loop so no allocations", "a hot spare takes over", "do not blow the cache", "fire an event on change", "shoot a ray through the pixel", "penetration depth of the contact", "penetration tests run weekly", "Essex and Sussex county codes", "dirty bit of the page", "dirty rows are written back", "orphan processes are adopted by init", "executed after the orphan check", "garbage is collected in the background", "garbage collector pauses", "dumb terminals have no colors", "abort when the peer dies", "die with a message", "the server is dead so retry", "move to trash", "trash can icon", "a useless check removed", "drop the worthless index",
+    "clean the dirty flag", "cockpit dashboard of hosts", "assassin bug dataset", "class passed to the assembler", "compass heading", "kill idle connections", "kill -9 the stuck job", "deny list of hosts", "poor performance with old drivers", "old people by age group in the census", "patients with a disease", "disease codes from the registry", "plague model parameters", "parasitic load of the wire", "rats and mice in the lab study", "pigs cows and donkeys on the farm", "animals by species pigs rats monkeys", "zoo table of monkeys and donkeys", "gender and health survey", "women and men counted separately", "foreign key to the table of people", "refugees registered in each camp", "immigrants by country of birth", "muslim holidays calendar", "jewish calendar conversion", "faith based organisations", "keep it simple stupid principle", "stupid simple parser", "fool proof check of the input", "a foolproof way to reset", "fail fast and exit", "lock away the old keys", "wipe the cache", "wipe out stale entries", "get rid of the legacy branch", "throw out the first sample", "driven out of range", "breed records of horses",
+    "fix this mess", "what a nice helper", "nobody calls this any more", "you should not call this twice", "you must pass an open handle", "you are here in the docs", "only a writer may do so", "this must be a list", "our index must be a map", "the whole team reviews it", "quit the loop", "shut down the pool", "ask for a review", "send me the logs and I will look", "watch the build", "I want to see the tests", "look at the photo", "they do not belong to this module", "they are too large to inline", "should be locked before the write", "should be wiped before use", "the last one left a note here", "get out of the loop early", "get lost packets resent", "learn to type faster with shortcuts", "stop the service you started", "I will find the leak and fix it", "I know where the bug is", "I hate this", "I hate writing tests", "hate it when this fails", "your branch is behind", "your mother board firmware", "the author of the patch", "he is the maintainer", "she is on call", "her change was merged", "his review is pending", "crawl the site and index it", "jump to the next line", "hang detection watchdog", "burn rate of the error budget", "burn in test of the disks", "eat the exception here", "suck in the whole file", "lick observatory catalog", "balls in the simulation", "cum laude", "touch the file", "spank the cache", "naked domain redirect", "nude color palette", "adult content filter settings", "explicit flag required", "explicit content rating", "body of the request", "moan about lint", "thrust of the engine in newtons", "thigh bone length", "skirt the limit", "strip tags and clothes sizes", "teens bucket of ages", "video player controls", "camera exposes the raw frame", "bare metal install", "anal retentive about formatting", "analysis of variance", "analog input", "cockroach db driver", "cocktail sort", "dickens novels corpus", "scunthorpe problem", "shitake mushroom recipe", "peacock feature", "titration curve", "assess the risk", "passenger list", "bastion host", "grape juice", "therapist schedule", "document title",
+    "der Wert ist leer", "sonst bleibt die Reihenfolge gleich", "du kannst das Feld leer lassen", "halt an wenn fertig", "die Klappe des Ventils", "Fehler in der Zeile", "dumm gelaufen im Test", "la clé est vide", "tu es dans le bon fichier", "le tri est stable", "ferme le fichier", "va te chercher un café", "la liste est nulle", "eres el dueño de la tarea", "vete a la línea siguiente", "cola vacía", "la tabla es de todos", "calla los avisos", "sei nel ramo giusto", "chiudi il file", "feche o arquivo", "порядок строк важен", "ты можешь удалить файл", "сначала прочитай файл", "先读取文件", "这个函数返回列表", "去掉空格", "空のリストを返す", "このファイルを閉じる", "순서를 유지한다", "الملف فارغ",
 ]
 _CODE = "return import function const value note error string number public private static class queue worker token index merge split cache stream sample render patch schedule compact report copy author license copyright read write before after when given once even each keeps later falls back most every wins while keep can may the is of to and for with all this we use per no one it a in on at log info self list".split()
 
@@ -85,14 +100,18 @@ def made_sentences(n: int = MADE, seed: int = SEED) -> list[tuple[str, int]]:
     """Sentences and whether they abuse, half of the abusive ones disguised."""
     rng = random.Random(seed)
     pick = lambda x: rng.choice(x).replace("-", " ")
-    out = [(s, 1) for s in _SEXUAL + _OTHER] * 4 + [(s, 0) for s in _CLEAN] * 16
+    out = [(s, 1) for s in _SEXUAL + _OTHER] * 4 + [(s, 0) for s in _CLEAN] * 8
     while len(out) < n:
         r = rng.random()
+        if r < 0.2:
+            out.append((code_line(rng), 0))
+            continue
+        r = (r - 0.2) / 0.8
         if r < 0.3:
             s, y = rng.choice(_INSULT), 1
-        elif r < 0.5:
+        elif r < 0.58:
             s, y = rng.choice(_HATE), 1
-        elif r < 0.65:
+        elif r < 0.7:
             s, y = " ".join(rng.sample(_CODE, rng.randrange(3, 12))), 0
         else:
             s, y = rng.choice(_CLEAN) + " " + " ".join(rng.sample(_CODE, rng.randrange(0, 5))), 0
@@ -282,10 +301,12 @@ class AbuseModel:
         self.letters = frozenset("*".join(landmarks)) | {"*"}
         self.words: dict[str, float] = {}
         self.raw: dict[str, float] = {}
+        self.live: set[str] = set()
 
     def learn(self, raws: set[str]) -> None:
         if len(self.raw) > WORDS_KEPT:
             self.raw.clear()
+            self.live.clear()
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         split = {r: [pieces(w) for w in plain_words(r)] for r in raws}
@@ -294,47 +315,55 @@ class AbuseModel:
         self.words.update((w, 0.0) for w in new if self.letters.isdisjoint(w))
         if new := [w for w in new if w not in self.words]:
             weights = self.kernel.rows(new) @ self.beta
-            self.words.update(zip(new, (np.sign(weights) * np.maximum(np.abs(weights) - FAINT, 0)).tolist()))
+            self.words.update(zip(new, (np.where(np.abs(weights) < CHANCE, 0, weights - np.sign(weights) * FAINT)).tolist()))
         for r, ws in split.items():
             self.raw[r] = sum(worst_cut(found, self.words) for found in ws)
+            if self.raw[r] > 0:
+                self.live.add(r)
 
     def segment_scores(self, text: str) -> list[float]:
         """Scores of all lines, and of neighbouring comment lines together."""
-        if not text.isascii():
-            text = text.translate(_HIDDEN)
+        if not text.isascii() and _HIDDEN.search(text):
+            text = _HIDDEN.sub("", text)
         if _SPACED.search(text):
             text = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()) if len(m.group()) > 5 else m.group(), text)
             text = re.sub(r"(?<=[^\W\d_]) (?=[^\W\d_] [^\W\d_] )", "", text)
         known, find = self.raw, _RAW.findall
-        if len(text) > 200 and _BLOB.search(text):
+        if _BLOB.search(text):
             text = _BLOB.sub(lambda m: " " if encoded(m.group()) else m.group(), text)
-        lines = [x for line in text.split("\n") for x in (_SENTENCE.split(line) if len(line) > 120 else (line,))]
-        try:
-            sums = [sum([known[t] for t in find(line)]) for line in lines]
-        except KeyError:
-            words = set(find(text))
-            self.learn({t for t in words if t not in known})
-            if any(t not in known for t in words):
+        words = set(find(text))
+        if not words <= known.keys():
+            self.learn(words - known.keys())
+            if not words <= known.keys():  # all of them, where the call started afresh
                 self.learn(words)
-            sums = [sum([known[t] for t in find(line)]) for line in lines]
-        out = [s + self.bias for s in sums]
-        # what is quoted counts by itself, not with the code around it
-        for line in lines:
-            if ('"' in line or "`" in line) and sum([x for t in find(line) if (x := known[t]) > 0]) + self.bias > THRESHOLD:
+        live = self.live
+        if live.isdisjoint(words):
+            return [self.bias]  # no segment is above that of no words
+        out, before = [], None
+        for line in text.split("\n"):
+            tokens = find(line)
+            if live.isdisjoint(tokens):
+                before = None
+                continue
+            parts = _SENTENCE.split(line)
+            whole = sum([known[t] for t in tokens])
+            sums = [whole] if len(parts) == 1 else [sum([known[t] for t in find(p)]) for p in parts]
+            out += [s + self.bias for s in sums]
+            # what is quoted counts by itself, not with the code around it
+            if sum([x for t in tokens if (x := known[t]) > 0]) + self.bias > THRESHOLD and ('"' in line or "`" in line):
                 for part in _QUOTE.split(line):
                     out.append(sum([known.get(t, 0.0) for t in find(part)]) + self.bias)
-        before = None
-        for s, line in zip(sums, lines):
-            if s > 0 and _COMMENT.match(line):
+            if whole > 0 and _COMMENT.match(line):
                 if before is not None:
-                    out.append(before + s + self.bias)
-                before = s
+                    out.append(before + whole + self.bias)
+                before = whole
             else:
                 before = None
         return out
 
     def score(self, text: str | None) -> float:
-        return max(self.segment_scores(text), default=self.bias) if text else self.bias
+        """The highest score of a segment; that of no words at least."""
+        return max(self.bias, *self.segment_scores(text)) if text else self.bias
 
 
 def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) -> AbuseModel:
@@ -368,7 +397,9 @@ def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) ->
             if epoch >= ROUNDS // 2:
                 total += w
                 seen += 1
-    return AbuseModel(landmarks, (nystrom @ (total / seen)).astype(np.float32), bias)
+    beta = (nystrom @ (total / seen)).astype(np.float32)
+    heavy = np.flatnonzero(np.abs(beta) > LIGHT)  # the rest can't move a word past chance
+    return AbuseModel([landmarks[i] for i in heavy], beta[heavy], bias)
 
 
 _BASE: list[AbuseModel] = []
@@ -381,13 +412,13 @@ def base_model() -> AbuseModel:
     return _BASE[0]
 
 
-def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[tuple[str, int]]:
-    """Sentences of at most ``limit`` documents that raters agree on.
+def model_with(extra: list[tuple[str, int]]) -> AbuseModel:
+    """Fitted on the made sentences and on ``extra``."""
+    return fit(made_sentences() + extra * 3) if extra else base_model()
 
-    Of a clean document the lines the base model likes worst count as clean;
-    of an abusive one the worst line counts as abusive only if the base model
-    comes near to finding it, since ratings may be wrong.
-    """
+
+def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[tuple[str, int]]:
+    """Lines of at most ``limit`` documents that raters agree on; see :func:`worst_lines`."""
     votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     agreed = votes.where("low = high").select("doc_id", F.col("low").alias("toxic"))
     chosen = agreed.orderBy(F.xxhash64("doc_id")).limit(limit)
@@ -396,13 +427,18 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = LABELLED
 
 
 def worst_lines(rated: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Lines that stand for rated documents: of an abusive one the worst, of a clean one those that the model likes worst.
+
+    Ratings may be wrong: an abusive document without any line near to abuse
+    gives none, nor does a clean one's line that is abuse beyond doubt.
+    """
     model, out = base_model(), []
     for text, toxic in rated:
-        scored = sorted(((model.score(line), line) for line in text.split("\n") if line.strip()), reverse=True)[:5]
+        scored = sorted(((model.score(line), line) for line in text.split("\n") if line.strip()), reverse=True)
         if toxic:
-            out += [(line, 1) for s, line in scored[:1] if s > 0.5]
+            out += [(line, 1) for s, line in scored[:1] if s > DOUBTFUL]
         else:
-            out += [(line, 0) for s, line in scored if s < 1.5]
+            out += [(line, 0) for s, line in scored[:CLEAN_LINES] if s < CERTAIN]
     return out
 
 
@@ -415,7 +451,7 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFra
     of some hundred landmarks travel with the task.
     """
     extra = labelled_sentences(docs, labels) if labels is not None else []
-    model = fit(made_sentences() + extra * 3) if extra else base_model()
+    model = model_with(extra)
     shared = docs.sparkSession.sparkContext.broadcast((model.kernel.landmarks, model.beta, model.bias))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ PYTHON = """
 file = (NL | stmt)* ;
 stmt = simples | compound ;
 simples = simple (';' simple)* ';'? NL ;
-simple = exprs ( ('=' (exprs | yield_x))+ | ASG (exprs | yield_x) | ':' test ('=' (exprs | yield_x))? )? | yield_x
-  | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (test ('from' test)?)? | 'del' exprs
+simple = exprs | tgts ('=' tgts)* '=' (exprs | yield_x) | single ASG (exprs | yield_x) | single ':' test ('=' (exprs | yield_x))? | yield_x | TYPE ID tparams? '=' test
+  | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (test ('from' test)?)? | 'del' tgts
   | 'global' ID (',' ID)* | 'nonlocal' ID (',' ID)* | 'assert' test (',' test)?
   | 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)*
   | 'from' ('.' | '...')* dotted? 'import' ('*' | names | '(' names ','? ')') ;
@@ -21,22 +21,30 @@ names = ID ('as' ID)? (',' ID ('as' ID)?)* ;
 dotted = ID ('.' ID)* ;
 yield_x = 'yield' ('from' test | exprs)? ;
 block = NL INDENT stmt+ DEDENT | simples ;
-compound = ('@' test NL)* (('async')? 'def' ID tparams? '(' params? ')' ('->' test)? ':' block | 'class' ID tparams? ('(' args? ')')? ':' block)
+compound = ('@' walrus NL)* (('async')? 'def' ID tparams? '(' params? ')' ('->' test)? ':' block | 'class' ID tparams? ('(' args? ')')? ':' block)
   | 'if' walrus ':' block ('elif' walrus ':' block)* ('else' ':' block)?
   | 'while' walrus ':' block ('else' ':' block)?
-  | 'async'? 'for' targets 'in' exprs ':' block ('else' ':' block)?
+  | 'async'? 'for' tgts 'in' exprs ':' block ('else' ':' block)?
   | 'async'? 'with' withs ':' block
   | 'try' ':' block (('except' '*'? (exprs ('as' ID)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | 'finally' ':' block)
   | MATCH exprs ':' NL INDENT (CASE exprs ('as' ID)? ('if' walrus)? ':' block)+ DEDENT ;
-tparams = '[' exprs ']' ;
-withs = test ('as' target)? (',' test ('as' target)?)* ;
-params = param (',' param)* ','? ;
-param = ('*' | '**')? ID (':' test)? ('=' test)? | '*' | '/' ;
-args = arg (',' arg)* ','? ;
-arg = walrus comp? | ID '=' test | ('*' | '**') test ;
-comp = ('async'? 'for' targets 'in' ors ('if' ors)*)+ ;
-targets = target (',' target)* ','? ;
-target = '*'? primary ;
+tparams = '[' tparam (',' tparam)* ','? ']' ;
+tparam = ('*' | '**')? ID (':' test)? ('=' '*'? test)? ;
+withs = with (',' with)* | '(' with (',' with)* ','? ')' ;
+with = test ('as' tgt)? ;
+params = phase (',' tail)? ','? | tail ','? ;
+phase = named (',' (named | '/'))* (',' (given | '/'))* | given (',' (given | '/'))* ;
+tail = '*' ID (':' '*'? test)? (',' (named | given))* (',' '**' named)? | '*' (',' (named | given))+ (',' '**' named)? | '**' named ;
+named = ID (':' test)? ;
+given = named '=' test ;
+args = arg (',' arg)* (',' later)* ','? | later (',' later)* ','? ;
+arg = walrus comp? | '*' test ;
+later = ID '=' test | ('*' | '**') test ;
+comp = ('async'? 'for' tgts 'in' ors ('if' ors)*)+ ;
+tgts = tgt (',' tgt)* ','? ;
+tgt = '*'? (ID | atom trailer* place | '(' tgts? ')' | '[' tgts? ']') ;
+single = ID | atom trailer* place | '(' single ')' ;
+place = '.' ID | '[' subs ']' ;
 walrus = test (':=' test)? ;
 exprs = starred (',' starred)* ','? ;
 starred = '*' bits | test (':=' test)? ;
@@ -77,7 +85,7 @@ full = block | fun | classy | 'if' '(' exprs ')' body (NL* 'else' body)? | 'whil
   | ID ':' stmt | 'export' 'default'? (fun | classy $EXPORTED) | 'do' body NL* 'while' '(' exprs ')' $FULL ;
 body = NL* (stmt | bare | ';') ;
 decl_for = ('const' | 'let' | 'var') binding type_of? ('=' asg)? (',' binding type_of? ('=' asg)?)* ;
-decl = ('const' | 'let' | 'var') binding type_of? ('=' asg)? (',' NL* binding type_of? ('=' asg)?)* ;
+decl = ('let' | 'var') binding type_of? ('=' asg)? (',' NL* binding type_of? ('=' asg)?)* | 'const' binding type_of? '=' asg (',' NL* binding type_of? '=' asg)* ;
 binding = ID | '[' (','* bound (','+ bound)* ','*)? ']' | '{' (prop_b (',' NL* prop_b)* ','?)? NL* '}' ;
 bound = '...'? binding ('=' asg)? ;
 prop_b = NL* (name (':' binding)? ('=' asg)? | '...' ID) ;
@@ -120,7 +128,7 @@ _JS_FILL = {
 }
 _JS_TYPES = "type_of = NEVER ; gens = NEVER ; result = NEVER ; gens_call = NEVER ;"
 _TS_FILL = {
-    "BARE": "| 'export'? 'default'? 'async'? 'function' ID gens? '(' params? ')' result? | 'type' ID gens? '=' type_x | 'declare' (decl | 'function' ID gens? '(' params? ')' result?) | 'export' 'type' (ID gens? '=' type_x | braces ('from' STR)?) | 'export'? 'import' ID '=' asg | 'export' '=' asg",
+    "BARE": "| 'export'? 'default'? 'async'? 'function' ID gens? '(' params? ')' result? | 'type' ID gens? '=' type_x | 'export'? 'declare' (decl | 'const' binding type_of (',' binding type_of)* | 'function' ID gens? '(' params? ')' result?) | 'export' 'type' (ID gens? '=' type_x | braces ('from' STR)?) | 'export'? 'import' ID '=' asg | 'export' '=' asg",
     "FULL": "| 'export'? 'declare'? ('interface' ID gens? ('extends' type_x (',' type_x)*)? obj_type | 'const'? 'enum' ID '{' NL* (name ('=' asg)? NL* (',' NL* name ('=' asg)? NL*)* ','? NL*)? '}' | ('namespace' | 'module') (ID ('.' ID)* | STR) block) | 'declare' (fun | classy)",
     "EXPORTED": "",
     "ABSTRACT": "'abstract'?",

@@ -258,14 +258,16 @@ def python(grammar: str) -> Callable[[str], list[str]]:
 
     def classes(text: str) -> list[str]:
         known, out, stack = lex.known, [], [0]
-        depth, pending = 0, -1
+        narrow = [0]  # the same indents with tabs of one column: both must agree
+        depth, pending, thin = 0, -1, 0
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         for tok in lex.find("\n" + text):
             if tok[0] == "\n":
                 if not depth:
                     tail = tok[tok.rfind("\n") + 1 :]
-                    pending = len(tail.expandtabs(8)) if "\t" in tail else len(tail)
+                    thin = len(tail)
+                    pending = len(tail.expandtabs(8)) if "\t" in tail else thin
                 continue
             c = known.get(tok)
             if c is None:
@@ -278,16 +280,18 @@ def python(grammar: str) -> Callable[[str], list[str]]:
                 if out:
                     out.append("NL")
                 if pending > stack[-1]:
+                    out.append("INDENT" if thin > narrow[-1] else "BAD")
                     stack.append(pending)
-                    out.append("INDENT")
+                    narrow.append(thin)
                 else:
                     while pending < stack[-1]:
                         stack.pop()
+                        narrow.pop()
                         out.append("DEDENT")
-                    if pending != stack[-1]:
+                    if pending != stack[-1] or thin != narrow[-1]:
                         out.append("BAD")
                 pending = -1
-                if c == "ID" and tok in ("match", "case"):
+                if c == "ID" and tok in ("match", "case", "type"):
                     out.append(tok.upper() + "?")
             if c in "([{":
                 depth += 1
@@ -303,12 +307,21 @@ def python(grammar: str) -> Callable[[str], list[str]]:
 
 
 def _soft(classes: list[str]) -> list[str]:
-    """``match`` and ``case`` at a line's start are keywords if their line ends in a colon and another follows."""
-    if "MATCH?" not in classes and "CASE?" not in classes:
+    """``match``, ``case`` and ``type`` at a line's start are keywords where what follows makes them so.
+
+    The first two where their line ends in a colon, ``type`` before a name and ``=`` or type parameters.
+    """
+    if not {"MATCH?", "CASE?", "TYPE?"} & set(classes):
         return classes
     out, i = [], 0
     while i < len(classes):
         c = classes[i]
+        if c == "TYPE?":
+            if classes[i + 2 : i + 3] == ["ID"] and classes[i + 3 : i + 4] in (["="], ["["]):
+                out.append("TYPE")
+                i += 1
+            i += 1
+            continue
         if c in ("MATCH?", "CASE?"):
             j, depth = i + 1, 0
             while j < len(classes) and not (classes[j] in ("NL", ":") and depth == 0 and j > i + 2):

@@ -343,7 +343,7 @@ def _expression(rng: random.Random, depth: int = 2) -> str:
     return rng.choice([_name(rng), _name(rng), str(rng.randrange(1000)), f'"{words}"', f"'{words}'", f"{rng.randrange(99)}.{rng.randrange(99)}", hex(rng.randrange(1 << 30)), f'"{rng.choice(_NOUNS)}"'])
 
 
-def _code_line(rng: random.Random) -> str:
+def code_line(rng: random.Random) -> str:
     """A line of ordinary code or prose, in which nothing is a credential."""
     a, b, x, y = _name(rng), _name(rng), _expression(rng), _expression(rng, 1)
     words = " ".join(rng.choice(_NOUNS + "the a is when we it once per even for of to and not only every read written kept before after".split()) for _ in range(rng.randrange(3, 12)))
@@ -354,6 +354,11 @@ def _code_line(rng: random.Random) -> str:
     if k < 0.1:  # where a credential is looked up
         up = secret.upper()
         return rng.choice([f'{secret} = os.environ["{up}"]', f"{secret} = os.environ['{up}']", f'{up} = os.environ.get("{up}", "{rng.choice(["********", "x" * 12, "changeme"])}")', f"const {_camel(secret)} = process.env.{up};", f'{_camel(secret)} := os.Getenv("{up}")', f'String {_camel(secret)} = System.getenv("{up}");', f'{secret}: ${{{up}}}', f'{secret} = config["{secret}"]', f'{secret} = vault.read("{a}/{secret}")', f'{secret} = settings.{secret}', f"{secret} = {a}", f"{_camel(secret)} := {a}", f"{secret} = {a};", f"{secret}({a})", f"{secret}, {a} = {b}", f'{secret}: !vault {a}'])
+    if 0.14 < k < 0.18:
+        return rng.choice([f'{secret} = "<your-{secret}-here>"', f"{secret}: '<{secret}>'", f'config.set("{secret}", "<your-{secret}-here>");', f'{secret} = "REPLACE_ME"', f"Then log in with `<your-{secret}-here>`."])
+    if 0.18 < k < 0.2:
+        one = lambda: rng.choice(string.ascii_letters)
+        return ";".join(f"function {one()}{one()}({one()},{one()}){{var {one()}={one()}.{rng.choice(_NOUNS)}({one()});if({one()}>{rng.randrange(99)}){{return {one()}.{one()}(\"{rng.choice(_NOUNS)}\")}}return {one()}+{rng.randrange(9)}}}" for _ in range(rng.randrange(1, 5)))
     if k < 0.14:
         lib, v = "-".join(rng.sample(_NOUNS, rng.choice([1, 2]))), f"{rng.choice(['', 'v'])}{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)}"
         return rng.choice([f"// {lib} {v} | {rng.choice(['MIT', 'Apache-2.0', 'ISC', 'BSD-3-Clause'])} licensed | upstream: {lib}.example", f"/*! {lib} {v} (c) the {lib} contributors, {rng.choice(['MIT', 'Apache-2.0'])} */", f"# {lib} {v}, copyright {rng.randrange(1990, 2030)} by its authors", f'"{lib}": "^{v}",', f"{lib}=={v}", f"# from {lib}@{v} ({words})"])
@@ -423,7 +428,7 @@ def made_lines(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]
         if "BEGIN" in value and rng.random() < 0.4:
             line = rng.choice(["", "  ", "    "]) + value
         if rng.random() < 0.4:
-            line = _code_line(rng)
+            line = code_line(rng)
         elif rng.random() < 0.1:
             a, b, c = (rng.choice(_NOUNS) for _ in range(3))
             p = rng.choice(_PASSWORD_NAMES)

@@ -45,6 +45,7 @@ def _grammars() -> dict[str, tuple[str, Callable]]:
 
 
 LANGUAGES = tuple(_grammars())
+_MADE = {"python": ("NL", "DEDENT"), "javascript": ("NL",), "typescript": ("NL",), "go": (";",), "yaml": ("NL", "DEDENT")}
 _READY: dict[str, tuple[Grammar, Callable[[str], list[str]]]] = {}
 
 
@@ -56,14 +57,25 @@ def checker(lang: str) -> tuple[Grammar, Callable[[str], list[str]]]:
 
 
 def check_text(lang: str, text: str) -> tuple[bool, int, bool]:
-    """``(valid, failing token, truncated)``; the token is -1 for a valid text."""
+    """``(valid, failing token, truncated)``; the token is -1 for a valid text.
+
+    A text is truncated when no token of it fails, but what they leave to
+    follow doesn't hold the empty word.
+    """
     grammar, classes = checker(lang)
     text = text.removeprefix("\ufeff")
     if not text.strip():
         return True, -1, False
     seen = classes(text)
     at = grammar.check(seen)
-    return (True, -1, False) if at is None else (False, at, at >= len(seen) - 1)
+    if at is None:
+        return True, -1, False
+    # line ends and dedents that no character of the text stands for
+    made = _MADE.get(lang, ())
+    real = len(seen)
+    while real and seen[real - 1] in made and not (seen[real - 1] == ";" and text.rstrip().endswith(";")):
+        real -= 1
+    return False, at, at >= real
 
 
 def check_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -121,6 +121,26 @@ def test_check_files(spark):
     assert rates[("r", "Python ")] == (2, 2) and rates[(None, "go")] == (1, 0)
 
 
+def test_python_agrees_with_the_compiler_on_small_cases():
+    good = ["with (open(a) as b, open(c) as d): pass", "type X = int", "type X[T] = list[T]", "type = 3", "a, *b = c", "(a) = 1", "x.y[1:2].z += 3", "def f(a, /, b=1, *, c, **k): pass", "def f(*a, b=1, c): pass", "f(*a, b, *c, d=1, *e, **k)", "a.b: int", "for a.b, c[0] in x: pass", "with (a, b) as c: pass", "x = yield"]
+    bad = ["1 = x", "f() = 3", "a + 1 = 2", "for f() in x: pass", "del f()", "f(a=1, 2)", "def f(a=1, b): pass", "def f(*, **k): pass", "if x:\n\ty\n        z\n", "x = [1,", "def f():"]
+    for text in good:
+        ast.parse(text)
+        assert syntax.check_text("python", text)[0], text
+    for text in bad:
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+        assert not syntax.check_text("python", text)[0], text
+    assert not syntax.check_text("javascript", "const a;")[0] and syntax.check_text("javascript", "let a;")[0] and syntax.check_text("typescript", "declare const a: string;")[0]
+
+
+def test_truncation_is_an_end_that_holds_more():
+    for lang, text in (("json", '{"a":1,}'), ("javascript", "const a = ;"), ("yaml", "a: b: c"), ("go", "package a\nfunc f( {}")):
+        assert syntax.check_text(lang, text)[0] is False and not syntax.check_text(lang, text)[2], text
+    for lang, text in (("python", "def f():\n    x = (1,"), ("json", '{"a":'), ("javascript", "function f() {"), ("go", "package a\nfunc f() {"), ("python", "def f():")):
+        assert syntax.check_text(lang, text)[0] is False and syntax.check_text(lang, text)[2], text
+
+
 # -- 4: provenance
 
 
