@@ -84,7 +84,7 @@ _OTHER = [
     "espèce d'idiot", "tu es un connard", "ferme ta gueule", "ta gueule abruti", "va te faire foutre", "sale pute", "gros con", "pauvre imbécile", "quel crétin", "fils de pute", "salope", "bande de débiles", "va crever", "enculé", "dégage sale porc", "tu pues la merde", "tu me fais chier", "sale étranger", "bouffon", "quelle bande d'incapables",
     "vete al carajo imbécil", "eres una mierda", "hijo de puta", "maldito imbécil", "idiota de mierda", "pendejo", "cabrón", "estúpido inútil", "cállate imbécil", "qué asco de persona", "asqueroso cerdo", "basura humana", "puta de mierda", "chinga tu madre", "muérete", "gilipollas", "tonto del culo",
     "sei un idiota", "vaffanculo", "pezzo di merda", "stronzo", "figlio di puttana", "brutto cretino", "va te foder", "seu idiota", "filho da puta", "burro inútil", "cala a boca", "merda de gente", "klootzak", "kankerhoer", "godverdomme idioot", "kurwa idiota", "spierdalaj", "debil jesteś",
-    "ты идиот", "тупой дебил", "иди на хуй", "сука", "пошёл нахер урод", "мразь", "сдохни тварь", "这个白痴", "白痴", "你是白痴", "傻瓜", "你是傻逼", "去死吧", "垃圾 滚蛋", "蠢货", "婊子", "笨蛋 滚", "バカ野郎", "死ね", "クズ", "このアホ", "くたばれ", "消えろ ゴミ", "씨발", "병신", "개새끼", "미친놈", "كلب حقير", "غبي", "aptal herif", "orospu çocuğu",
+    "ты идиот", "тупой дебил", "иди на хуй", "сука", "пошёл нахер урод", "мразь", "сдохни тварь", "这个白痴", "白痴", "你是白痴", "你这个白痴 快滚", "傻瓜", "你是傻逼", "去死吧", "垃圾 滚蛋", "蠢货", "婊子", "笨蛋 滚", "バカ野郎", "死ね", "クズ", "このアホ", "くたばれ", "消えろ ゴミ", "씨발", "병신", "개새끼", "미친놈", "كلب حقير", "غبي", "aptal herif", "orospu çocuğu",
 ]
 _CLEAN = [
     "export all rows", "export all tokens of the session", "report all errors", "import all modules", "support all versions", "sort all of them", "shared by all workers", "lazy loading of the list", "keep the lock while you write the page", "keep it open while you read", "keep the list sorted", "lazy evaluation", "an ugly print", "fat pointer", "rotten green tests",
