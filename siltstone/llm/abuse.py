@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -367,7 +368,9 @@ class AbuseModel:
 
 
 def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) -> AbuseModel:
-    """A linear machine with hinge loss on Nyström features."""
+    """A linear machine with hinge loss on Nyström features; equal sentences share a row and are visited as often as they come."""
+    times = Counter(sentences)
+    sentences, visits = list(times), np.repeat(np.arange(len(times)), list(times.values()))
     split = [[p for r in _RAW.findall(s) for w in plain_words(r) for p in disjoint(w)] for s, _ in sentences]
     vocabulary = sorted({w for ws in split for w in ws})
     if landmarks is None:
@@ -379,15 +382,18 @@ def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) ->
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-3 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = rows.astype(np.float64) @ nystrom
-    x = np.stack([mapped[[at[w] for w in ws]].sum(0) if ws else np.zeros(mapped.shape[1]) for ws in split])
+    mapped = rows @ nystrom.astype(np.float32)
+    del rows
+    x = np.zeros((len(split), mapped.shape[1]), np.float32)
+    for i, ws in enumerate(split):
+        x[i] = mapped[[at[w] for w in ws]].sum(0)
     y = np.array([1.0 if label else -1.0 for _, label in sentences])
     rng = np.random.default_rng(SEED)
     # a fixed bias: no words at all are as clean as can be
     w, bias, total, seen = np.zeros(x.shape[1]), -1.0, np.zeros(x.shape[1]), 0
     step = 0
     for epoch in range(ROUNDS):
-        for i in rng.permutation(len(y)):
+        for i in visits[rng.permutation(len(visits))]:
             step += 1
             rate = 1 / (REGULAR * (step + 2000))
             w *= 1 - rate * REGULAR
