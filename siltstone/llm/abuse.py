@@ -35,7 +35,7 @@ SHARP = 4
 LABELLED = 1200
 #: Of a rated document: scores below which its worst line is no abuse, above which it surely is, and lines of a clean one.
 DOUBTFUL, CERTAIN, CLEAN_LINES = 0.0, 1.5, 6
-SEED, MADE, REGULAR, ROUNDS = 5, 6500, 1e-4, 16
+SEED, MADE, REGULAR, ROUNDS = 5, 6500, 1e-4, 22
 WORDS_KEPT = 200_000
 #: Weights a word has by chance likeness: below the first they count as none, the second is taken off, so that long lists of harmless words stay harmless.
 CHANCE, FAINT = 0.3, 0.12

@@ -18,7 +18,7 @@ from siltstone.sources.tables import table
 
 # Severities, highest first.
 SEVERITIES = ["critical", "warning", "info", "nitpick"]
-MAX_ROUNDS, SETTLED = 12, 1e-3
+MAX_ROUNDS, SETTLED = 60, 1e-3
 FIELDS = ["severity", "category", "suggestion"]
 
 
@@ -43,6 +43,7 @@ def discover_truth(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``support`` has grp, field, value and its summed reliability, ``reliability``
     source and its weight. Claims said more than once by a source count once.
+    Reliabilities that have not settled after ``MAX_ROUNDS`` are an error.
     """
     claims = stage(claims.where("value is not null and source is not null").distinct(), "claims")
     trust = stage(claims.select("source").distinct().withColumn("trust", F.lit(0.8)), "trust")
@@ -63,6 +64,8 @@ def discover_truth(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
         trust = moved.select("source", F.col("new").alias("trust"))
         if change is None or change < SETTLED:
             break
+    else:
+        raise RuntimeError(f"reliabilities did not settle in {MAX_ROUNDS} rounds")
     support = lookup_join(claims, trust, "source").groupBy("grp", "field", "value").agg(F.sum("trust").alias("support"))
     return support, trust
 
@@ -94,12 +97,12 @@ def best_representatives(findings: DataFrame, pairs: DataFrame) -> DataFrame:
         F.explode(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.nullif(F.trim(F.col(f)), F.lit("")))])).alias("field", "value"),
     )
     support, _ = discover_truth(claims)
-    strength = F.struct(
-        F.col("support"),
-        F.coalesce(F.when(F.col("field") == "severity", severity_rank("value")), F.length("value")),
-        F.hash("value"),
+    weakness = F.struct(
+        -F.round("support", 9),
+        -F.coalesce(F.when(F.col("field") == "severity", severity_rank("value")), F.length("value")),
+        F.col("value"),
     )
-    best = support.groupBy("grp").pivot("field", FIELDS).agg(F.max_by("value", strength))
+    best = support.groupBy("grp").pivot("field", FIELDS).agg(F.min_by("value", weakness))
     head = rows.groupBy("grp").agg(
         F.max_by("id", F.struct(severity_rank(), "confidence", F.lit(0))).alias("id"),
         F.max(F.struct(severity_rank(), "confidence")).alias("top"),

@@ -204,6 +204,31 @@ def test_families_found_of_those_of_all_pairs(spark):
     assert len(alike) > 100 and len(met) >= 0.97 * len(alike) and max(bits) <= provenance.UNLIKE_BITS
 
 
+# -- 6: truth discovery
+
+
+def test_truth_discovery_beats_the_majority(spark):
+    """Planted truth: two good sources against three bad ones that repeat each other's mistakes at times."""
+    rng = random.Random(8)
+    truth = {g: rng.choice("abcdef") for g in range(400)}
+    right = {"good1": 0.95, "good2": 0.92, "bad1": 0.4, "bad2": 0.4, "bad3": 0.4}
+    claims = []
+    for g, t in truth.items():
+        wrong = rng.choice([x for x in "abcdef" if x != t])
+        claims += [(g, "f", t if rng.random() < p else (wrong if rng.random() < 0.6 else rng.choice("abcdef")), s) for s, p in right.items()]
+    df = spark.createDataFrame(claims, "grp long, field string, value string, source string")
+    support, trust = survivor.discover_truth(df)
+    best = {r.grp: r.value for r in support.groupBy("grp").agg(F.min_by("value", F.struct(-F.round("support", 9), "value")).alias("value")).collect()}
+    votes = defaultdict(Counter)
+    for g, _, v, _ in claims:
+        votes[g][v] += 1
+    majority = sum(min(v, key=lambda x: (-v[x], x)) == truth[g] for g, v in votes.items()) / len(truth)
+    found = sum(best[g] == t for g, t in truth.items()) / len(truth)
+    weight = dict(one(trust, "source", "trust"))
+    assert min(weight["good1"], weight["good2"]) > max(weight[b] for b in ("bad1", "bad2", "bad3"))
+    assert found > majority and found > 0.85, (found, majority)
+
+
 # -- 5 and 6: near duplicates and survivors
 
 
