@@ -9,7 +9,9 @@ is new without any doubt; only the rest is compared exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.components import connected_components
@@ -35,7 +37,11 @@ def commit_key(col: Column) -> Column:
 
 
 def _resolve_abbreviations(rows: DataFrame) -> DataFrame:
-    """Give an abbreviated hash and the full one of the same repo and request the same key."""
+    """Give an abbreviated hash and the full one of the same repo and request the same key.
+
+    An abbreviation that starts several full hashes of its request denotes none
+    of them for sure and stands for itself.
+    """
     place = F.concat_ws(SEP, "repo", F.col("pr_number").cast("string"))
     commits = (
         rows.where("sha is not null and repo is not null and pr_number is not null")
@@ -43,9 +49,10 @@ def _resolve_abbreviations(rows: DataFrame) -> DataFrame:
         .distinct()
     )
     short = commits.where(F.length("sha") < 40).select("place", "head", F.col("sha").alias("short"))
+    longer = commits.join(short, ["place", "head"]).where(F.col("sha").startswith(F.col("short")) & (F.col("sha") != F.col("short")))
+    clear = longer.groupBy("place", "short").agg(F.count_if(F.length("sha") >= 40).alias("n")).where("n <= 1").select("place", "short")
     roots = (
-        commits.join(short, ["place", "head"])
-        .where(F.col("sha").startswith(F.col("short")) & (F.col("sha") != F.col("short")))
+        longer.join(clear, ["place", "short"])
         .groupBy("place", "sha")
         .agg(F.min_by("short", F.length("short")).alias("root"))
         .select(F.concat_ws(SEP, "place", "sha").alias("commit"), F.concat_ws(SEP, "place", "root").alias("root"))
@@ -67,11 +74,10 @@ def screen_identifiers(seen: DataFrame, n_blocks: int) -> DataFrame:
     earlier and of all later buckets are running ``bit_or`` values within a
     filter block; one shuffle by block does all probes.
     """
-    bit = lambda i: F.expr(f"shiftleft(1L, cast(pmod(shiftright(h2, {6 * i}), 64) as int))")
     hashed = (
         seen.withColumn("block", F.pmod(F.xxhash64("ident"), F.lit(n_blocks)))
         .withColumn("h2", F.xxhash64(F.lit("mask"), "ident"))
-        .withColumn("mask", bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3)))
+        .withColumn("mask", _mask())
     )
     w = Window.partitionBy("block").orderBy("bucket")
     before = F.bit_or("mask").over(w.rangeBetween(Window.unboundedPreceding, -1))
@@ -85,13 +91,60 @@ def screen_identifiers(seen: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
+def _mask() -> Column:
+    bit = lambda i: F.expr(f"shiftleft(1L, cast(pmod(shiftright(h2, {6 * i}), 64) as int))")
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+@dataclass
+class IdentifierStore:
+    """Identifiers met so far, in a folder per time bucket, with a Bloom filter for each.
+
+    A batch is screened by the filters alone; what they can't call new is
+    looked up exactly, in the folders of the buckets that matched and no
+    others. Filters of 2**``bits`` words of 64 bits hold about four identifiers
+    a word; more only raise the share that is looked up.
+    """
+
+    spark: SparkSession
+    root: str
+    bits: int = 16
+
+    def _hashed(self, idents: DataFrame) -> DataFrame:
+        return idents.where("ident is not null").withColumn("block", F.pmod(F.xxhash64("ident"), F.lit(1 << self.bits))).withColumn("h2", F.xxhash64(F.lit("mask"), "ident")).withColumn("mask", _mask()).drop("h2")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def add(self, idents: DataFrame) -> None:
+        """Store a batch (ident, bucket); one that is stored twice changes nothing."""
+        rows = self._hashed(idents.select("ident", "bucket").distinct())
+        rows.select("ident", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/idents")
+        rows.groupBy("bucket", "block").agg(F.bit_or("mask").alias("word")).write.mode("append").partitionBy("bucket").parquet(f"{self.root}/filters")
+
+    def maybe_seen(self, idents: DataFrame) -> DataFrame:
+        """``ident, bucket``: identifiers of a batch (ident) and stored buckets whose filter holds them."""
+        words = self._read("filters", "block long, word long, bucket int").groupBy("bucket", "block").agg(F.bit_or("word").alias("word"))
+        asked = self._hashed(idents.select("ident").distinct())
+        return asked.join(words, "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("ident", "bucket")
+
+    def seen(self, idents: DataFrame) -> DataFrame:
+        """``ident`` of a batch that are stored already. The buckets that matched are a list of days."""
+        maybe = stage(self.maybe_seen(idents), "maybe-seen")
+        buckets = [r[0] for r in maybe.select("bucket").distinct().collect()]
+        stored = self._read("idents", "ident string, bucket int").where(F.col("bucket").isin(buckets))
+        return maybe.join(stored, ["ident", "bucket"], "left_semi").select("ident").distinct()
+
+
 def assign_requests(jobs: DataFrame, bucket: str = "received_at") -> DataFrame:
     """``delivery_id, request_id`` of every delivery; the request is its smallest delivery.
 
     Two deliveries are one request when their ``job_id`` denotes the same UUID,
     or when ``repo`` and ``pr_number`` are equal and ``head_sha`` denotes the
-    same known commit (an abbreviated hash denotes the one it starts). This
-    carries over. ``bucket`` is the time column whose day makes the buckets;
+    same known commit (an abbreviated hash denotes the one it starts; one that
+    starts several full hashes of its request denotes itself). This carries over. ``bucket`` is the time column whose day makes the buckets;
     NULL times form a bucket of their own.
 
     NULL or unreadable identifiers link nothing. A delivery without

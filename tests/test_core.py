@@ -493,3 +493,25 @@ def test_dense_search_against_brute_force(spark):
     for q in range(0, 200, 20):
         scores = np.round(unit @ unit[q], 6)
         assert [got[q, r] for r in range(1, 5)] == sorted(range(200), key=lambda i: (-scores[i], i))[:4]
+
+
+def test_identifier_store_reads_matching_buckets_only(spark, tmp_path):
+    from siltstone.operators.redelivery import IdentifierStore
+
+    store = IdentifierStore(spark, str(tmp_path / "ids"), bits=8)
+    assert store.seen(spark.createDataFrame([("a",)], "ident string")).count() == 0
+    for bucket in range(4):
+        store.add(spark.createDataFrame([(f"{bucket}-{i}", bucket) for i in range(50)] + [(None, bucket)], "ident string, bucket int"))
+    batch = spark.createDataFrame([("2-7",), ("2-7",), ("new",), (None,), ("2-49",)], "ident string")
+    assert sorted(one(store.seen(batch), "ident")) == [("2-49",), ("2-7",)]
+    maybe = store.maybe_seen(spark.createDataFrame([(f"fresh-{i}",) for i in range(2000)], "ident string"))
+    assert maybe.count() < 2000 * 4 * 0.05
+    store.add(spark.createDataFrame([("2-7", 2)], "ident string, bucket int"))
+    assert store.seen(batch).count() == 2
+
+
+def test_an_abbreviation_of_two_commits_denotes_neither(spark):
+    a, b = "abcdef1" + "0" * 33, "abcdef1" + "1" * 33
+    rows = [(1, None, "r", 5, a), (2, None, "r", 5, b), (3, None, "r", 5, "abcdef1"), (4, None, "r", 5, "ABCDEF10000"), (5, None, "r", 5, "abcdef1"), (6, None, "r", 6, "abcdef1"), (7, None, "r", 6, b)]
+    jobs = spark.createDataFrame([(*r, dt.datetime(2025, 1, 1)) for r in rows], "delivery_id long, job_id string, repo string, pr_number long, head_sha string, received_at timestamp")
+    assert dict(one(assign_requests(jobs), "delivery_id", "request_id")) == {1: 1, 2: 2, 3: 3, 4: 1, 5: 3, 6: 6, 7: 6}
