@@ -60,13 +60,12 @@ def fitting_blocks(blocks: DataFrame, budget: int, keys: list[str], skip: bool =
 
     By default up to the first that doesn't; with ``skip`` that one is left out
     and later, smaller ones may follow. Skipping needs an order-dependent fold
-    over the lengths of a key's blocks only; the texts stay where they are.
-    Rows come back with ``fits``.
+    over the lengths of a key's blocks; leave texts out. Rows come back with ``fits``.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     if not skip:
         return blocks.withColumn("fits", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) <= budget)
-    schema = ", ".join(f"{c} {t}" for c, t in blocks.select(*keys, "pos").dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in blocks.dtypes)
 
     def fold(pdf):
         used, out = 0, []
@@ -75,7 +74,6 @@ def fitting_blocks(blocks: DataFrame, budget: int, keys: list[str], skip: bool =
             ok = used + n <= budget
             used += n if ok else 0
             out.append(ok)
-        return pdf[[*keys, "pos"]].assign(fits=out)
+        return pdf.assign(fits=out)
 
-    marks = blocks.select(*keys, "pos", "n").groupBy(*keys).applyInPandas(fold, f"{schema}, fits boolean")
-    return blocks.join(marks, [*keys, "pos"])
+    return blocks.groupBy(*keys).applyInPandas(fold, f"{schema}, fits boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import LANGUAGES, approx_tokens, hash32, identifier_tokens, language_of, normalize
-from siltstone.operators import chunks, diffs, retrieval
+from siltstone.operators import chunks, diffs, reports, retrieval
 from siltstone.plans.graphs import _LINES
 from siltstone.sources.tables import table
 
@@ -115,13 +115,10 @@ def budget_break(spark, d):
 
 def budget_skip(spark, d):
     """As budget_break, but a chunk that doesn't fit is left out and smaller ones after it may follow."""
-    c = table(spark, d, "chunks").where("text is not null")
-    fold = c.groupBy("repo", "path", "commit_sha").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", F.length("text").alias("n")))).alias("rows"))
-    step = F.aggregate(
-        "rows", F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("ids")),
-        lambda a, x: F.when(a["used"] + x["n"] <= 6000, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["ids"], F.array(x["chunk_id"])).alias("ids"))).otherwise(a),
-    )
-    return fold.select(step.alias("s")).select(F.explode("s.ids").alias("chunk_id"))
+    c = table(spark, d, "chunks").where("text is not null").selectExpr(
+        "repo", "path", "commit_sha", "chunk_id", "length(text) as n", "row_number() over (partition by repo, path, commit_sha order by start_line, chunk_id) as pos"
+    )
+    return reports.fitting_blocks(c, 6000, ["repo", "path", "commit_sha"], skip=True).where("fits").select("chunk_id")
 
 
 def path_language(spark, d):

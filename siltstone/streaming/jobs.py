@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -159,6 +160,43 @@ def with_dead_letters(messages: DataFrame, check: Column | None = None, attempts
     return marked.where("ok").drop("ok"), dead
 
 
+def backoff(attempt: int, most: float = 30.0) -> float:
+    """Seconds to wait after a failed attempt, from 1: 2, 4, 8 and so on up to ``most``."""
+    return min(2.0**attempt, most)
+
+
+def handle_rows(messages: DataFrame, handle: Callable[[str | None], str | None], attempts: int = 3, wait: Callable[[int], float] | None = backoff) -> DataFrame:
+    """``messages`` (topic, key, value) with ``result, outcome, error, attempts``; for batches and for ``foreachBatch``.
+
+    A row that fails is tried again, ``attempts`` times in all. ``outcome`` is
+    ok, retry for a success after a failure, or dlq; then ``error`` holds at
+    most 500 characters of the last failure. The job itself never fails for a
+    row, so its offset is committed either way.
+    """
+    names = messages.columns
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for value in pdf["value"]:
+                result, error, n = None, None, 0
+                while n < attempts:
+                    n += 1
+                    try:
+                        result, error = handle(value), None
+                        break
+                    except Exception as e:
+                        error = (str(e) or type(e).__name__)[:500]
+                        if wait and n < attempts:
+                            time.sleep(wait(n))
+                out.append((result, "dlq" if error is not None else "ok" if n == 1 else "retry", error, n))
+            extra = pd.DataFrame(out, columns=["result", "outcome", "error", "attempts"], index=pdf.index)
+            yield pd.concat([pdf, extra], axis=1)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in messages.dtypes)
+    return messages.select(*names).mapInPandas(work, f"{schema}, result string, outcome string, error string, attempts int")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """``job_id, status``: the furthest status of each job; a late earlier one changes nothing."""
     order = F.array_position(F.array(*[F.lit(s) for s in ("queued", "agents", "judging", "completed")]), F.col("status"))

@@ -360,6 +360,21 @@ def test_fan_in_state_is_removed():
     assert not list(sj._gather(("j",), iter([]), state)) and not state.exists
 
 
+def test_rows_are_tried_again_then_go_to_the_dead_letters(spark):
+    from siltstone.streaming import jobs as sj
+
+    def handle(value):
+        failed = handle.__dict__.setdefault("failed", set())
+        if value is None or value == "bad" or (value == "shaky" and value not in failed and not failed.add(value)):
+            raise ValueError("x" * 900)
+        return value.upper()
+
+    m = spark.createDataFrame([("t", "1", "good"), ("t", "2", "bad"), ("t", "3", "shaky"), ("t", "4", None)], "topic string, key string, value string").coalesce(1)
+    got = {r.key: (r.result, r.outcome, r.error and len(r.error), r.attempts) for r in sj.handle_rows(m, handle, wait=None).collect()}
+    assert got == {"1": ("GOOD", "ok", None, 1), "2": (None, "dlq", 500, 3), "3": ("SHAKY", "retry", None, 2), "4": (None, "dlq", 500, 3)}
+    assert [sj.backoff(n) for n in (1, 2, 3, 9)] == [2, 4, 8, 30]
+
+
 def test_dead_letters_and_status(spark):
     from siltstone.streaming import jobs as sj
 
