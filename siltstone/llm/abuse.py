@@ -337,13 +337,12 @@ class AbuseModel:
             self.learn(words - known.keys())
             if not words <= known.keys():  # all of them, where the call started afresh
                 self.learn(words)
-        live = self.live
-        if live.isdisjoint(words):
+        live = self.live & words
+        if not live:
             return [self.bias]  # no segment is above that of no words
         out, before = [], None
         for line in text.split("\n"):
-            tokens = find(line)
-            if live.isdisjoint(tokens):
+            if not any([t in line for t in live]) or live.isdisjoint(tokens := find(line)):
                 before = None
                 continue
             parts = _SENTENCE.split(line)
