@@ -138,7 +138,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = table(spark, sf_dir, "findings")
-    return best_representatives(findings, near_findings(findings))
+    return best_representatives(findings, near_findings(findings, links=True))
 
 
 QUERIES = {"p6_found": p6_found, "p6_representatives": p6_representatives}
