@@ -204,6 +204,15 @@ def test_families_found_of_those_of_all_pairs(spark):
     assert len(alike) > 100 and len(met) >= 0.97 * len(alike) and max(bits) <= provenance.UNLIKE_BITS
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    rng, met, n = np.random.default_rng(11), 0, 1500
+    for _ in range(n):
+        marks = rng.integers(0, 1 << 32, 100, dtype=np.uint32)
+        a, b = (provenance.bands(provenance.minima(m), provenance.BANDS, provenance.ROWS) for m in (marks[:90], marks[10:]))
+        met += bool((a == b).any())  # 80 of 100 marks are in both
+    assert met >= 0.998 * n
+
+
 # -- 6: truth discovery
 
 
