@@ -41,12 +41,15 @@ WORDS_KEPT = 200_000
 CHANCE, FAINT = 0.3, 0.12
 #: Landmarks of less weight are left out.
 LIGHT = 0.05
+#: More than sums of the same weights differ by when they are rounded.
+ROUNDING = 1e-6
 THRESHOLD = 0.0
 
 # Signs that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
 _HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
-_RAW = re.compile(r"[A-Za-z0-9*$@!\u00aa-\U0010ffff]+")
+#: No white space of any script is in a raw token, so none lies over the end of a sentence.
+_RAW = re.compile(r"[A-Za-z0-9*$@!\u00aa-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\U0010ffff]+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Case and digits mixed as in encoded data, and as in a word spelled with signs.
 _ENCODED = re.compile(r"\d[A-Z]|[a-z]\d[a-z]*[A-Z]|[a-z][A-Z][a-z]?[A-Z]|[A-Z]{2}[a-z]+[A-Z0-9]|[A-Z]\d[A-Za-z]")
@@ -54,10 +57,13 @@ _SPELLED = re.compile(r"[A-Z0-9$@!*]+|[A-Z]?[a-z0-9$@!*]+")
 #: Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 _HEX = re.compile(r"(?:0x)?(?=[a-f]*\d)[0-9a-f]+|(?:0X)?(?=[A-F]*\d)[0-9A-F]+")
-_BLOB = re.compile(r"[A-Za-z0-9+/]{50,}={0,2}")
+LEAST_BLOB = 50
+_BLOB = re.compile(rf"[A-Za-z0-9+/]{{{LEAST_BLOB},}}={{0,2}}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[;{}])")
 _QUOTE = re.compile(r"[\"`]")
 _RUN = re.compile(r"(.)\1{2,}")
+#: What each match of _SPACED holds, and is faster to look for.
+_SINGLE = re.compile(r"[ .\-_][^\W\d_][ .\-_][^\W\d_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_](?![^\W_])){2,}")
 _COMMENT = re.compile(r"\s*(?:#|//|--|\*|/\*)")
 
@@ -175,13 +181,13 @@ def plain_words(raw: str) -> list[str]:
     if not raw.isascii() and (cut := apart(raw)) != [raw]:
         return [w for part in cut for w in plain_words(part)]
     raw = raw.rstrip("!$@").lstrip("!")
-    if not any(c.isalpha() for c in raw) or (raw.count("*") and (len(raw) < 4 or raw[0] == "*")):
+    if not raw.isalpha() and (not any(c.isalpha() for c in raw) or (raw.count("*") and (len(raw) < 4 or raw[0] == "*"))):
         raw = raw.replace("*", "")
     if encoded(raw) if len(raw) > LONGEST_WORD - 4 and raw.isascii() else len(raw) > 5 and _ENCODED.search(raw) and not _SPELLED.fullmatch(raw):
         return []
     if not raw.isascii():
         raw = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c))
-    if any(not c.isalpha() for c in raw):
+    if raw and not raw.isalpha():
         letters = sum(c.isalpha() for c in raw)
         if "*" not in raw and (letters * 2 < len(raw) or re.fullmatch(r"[A-Za-z]+\d+", raw)):
             parts = [x for p in re.findall(r"[^\W\d_]+", raw) for x in _CAMEL.findall(p) or [p]]
@@ -311,59 +317,57 @@ class AbuseModel:
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         split = {r: [pieces(w) for w in plain_words(r)] for r in raws}
-        new = sorted({w for ws in split.values() for found in ws for _, w in found} - self.words.keys())
+        # a set's difference from a dict looks up the set's items; "-" with its keys would pass through all words known
+        new = sorted({w for ws in split.values() for found in ws for _, w in found}.difference(self.words))
         # no character in common with any landmark: the kernel is 0
         self.words.update((w, 0.0) for w in new if self.letters.isdisjoint(w))
         if new := [w for w in new if w not in self.words]:
-            weights = self.kernel.rows(new) @ self.beta
+            # word by word: the weight doesn't depend on which words are learnt together
+            weights = np.array([row @ self.beta for row in self.kernel.rows(new)])
             self.words.update(zip(new, (np.where(np.abs(weights) < CHANCE, 0, weights - np.sign(weights) * FAINT)).tolist()))
         for r, ws in split.items():
-            self.raw[r] = sum(worst_cut(found, self.words) for found in ws)
+            self.raw[r] = sum([worst_cut(found, self.words) for found in ws])
             if self.raw[r] > 0:
                 self.live.add(r)
 
-    def segment_scores(self, text: str) -> list[float]:
-        """Scores of all lines, and of neighbouring comment lines together."""
+    def score(self, text: str | None) -> float:
+        """The highest score of a line, sentence, quoted part or pair of neighbouring comment lines; that of no words at least."""
+        if not text:
+            return self.bias
         if not text.isascii() and _HIDDEN.search(text):
             text = _HIDDEN.sub("", text)
-        if _SPACED.search(text):
+        if _SINGLE.search(text) and _SPACED.search(text):
             text = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()) if len(m.group()) > 5 else m.group(), text)
             text = re.sub(r"(?<=[^\W\d_]) (?=[^\W\d_] [^\W\d_] )", "", text)
-        known, find = self.raw, _RAW.findall
-        if _BLOB.search(text):
+        if any([_BLOB.search(x) for x in text.split() if len(x) >= LEAST_BLOB]):
             text = _BLOB.sub(lambda m: " " if encoded(m.group()) else m.group(), text)
-        words = set(find(text))
-        if not words <= known.keys():
-            self.learn(words - known.keys())
-            if not words <= known.keys():  # all of them, where the call started afresh
+        known, find, bias = self.raw, _RAW.findall, self.bias
+        lines = text.split("\n")
+        found = [find(line) for line in lines]
+        words = set().union(*found)
+        if new := words.difference(known):
+            self.learn(new)
+            if words.difference(known):  # all of them, where the call started afresh
                 self.learn(words)
         live = self.live & words
-        if not live:
-            return [self.bias]  # no segment is above that of no words
-        out, before = [], None
-        for line in text.split("\n"):
-            if not any([t in line for t in live]) or live.isdisjoint(tokens := find(line)):
-                before = None
-                continue
-            parts = _SENTENCE.split(line)
-            whole = sum([known[t] for t in tokens])
-            sums = [whole] if len(parts) == 1 else [sum([known[t] for t in find(p)]) for p in parts]
-            out += [s + self.bias for s in sums]
-            # what is quoted counts by itself, not with the code around it
-            if sum([x for t in tokens if (x := known[t]) > 0]) + self.bias > THRESHOLD and ('"' in line or "`" in line):
-                for part in _QUOTE.split(line):
-                    out.append(sum([known.get(t, 0.0) for t in find(part)]) + self.bias)
-            if whole > 0 and _COMMENT.match(line):
-                if before is not None:
-                    out.append(before + whole + self.bias)
-                before = whole
-            else:
-                before = None
-        return out
-
-    def score(self, text: str | None) -> float:
-        """The highest score of a segment; that of no words at least."""
-        return max(self.bias, *self.segment_scores(text)) if text else self.bias
+        # a segment scores no more than the words above 0 of its lines: only those that may be above the best so far are looked at
+        most = {i: sum([x for t in tokens if (x := known[t]) > 0]) for i, tokens in enumerate(found) if not live.isdisjoint(tokens)} if live else {}
+        best = bias
+        for i in sorted(most, key=most.__getitem__, reverse=True):
+            line, tokens = lines[i], found[i]
+            if most[i] + bias + ROUNDING > best:
+                parts = _SENTENCE.split(line)
+                for part in [tokens] if len(parts) == 1 else map(find, parts):
+                    best = max(best, sum([known[t] for t in part]) + bias)
+                # what is quoted counts by itself, not with the code around it
+                if most[i] + bias > THRESHOLD and ('"' in line or "`" in line):
+                    for part in _QUOTE.split(line):
+                        best = max(best, sum([known[t] for t in find(part)]) + bias)
+            if i - 1 in most and most[i - 1] + most[i] + bias + ROUNDING > best and _COMMENT.match(line) and _COMMENT.match(lines[i - 1]):
+                before, whole = sum([known[t] for t in found[i - 1]]), sum([known[t] for t in tokens])
+                if before > 0 and whole > 0:
+                    best = max(best, before + whole + bias)
+        return best
 
 
 def fit(sentences: list[tuple[str, int]], landmarks: list[str] | None = None) -> AbuseModel:
@@ -447,6 +451,16 @@ def worst_lines(rated: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+_OWN: list[tuple[tuple, AbuseModel]] = []
+
+
+def model_of(parts: tuple[list[str], np.ndarray, float]) -> AbuseModel:
+    """The model of broadcast weights; tasks of the same job in one process share it, and the words that it has learnt."""
+    if not _OWN or _OWN[0][0] is not parts:
+        _OWN[:] = [(parts, AbuseModel(*parts))]
+    return _OWN[0][1]
+
+
 def score_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, score, abusive`` of every row; above ``THRESHOLD`` is abusive.
 
@@ -460,7 +474,7 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast((model.kernel.landmarks, model.beta, model.bias))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = AbuseModel(*shared.value)
+        own = model_of(shared.value)
         for batch in batches:
             scores = np.array([own.score(t) for t in batch.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import ast
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -538,6 +539,74 @@ def test_abuse_late_in_long_words():
         assert all(word[i : i + len(p)] == p for i, p in found)
 
 
+def test_abuse_spaces_of_other_scripts():
+    m = abuse.base_model()
+    for space in "\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000":
+        assert not abuse._RAW.search(space)
+        for text in (f"read the list.{space}qzvx", f"ready!{space}qzvy", f"ok?{space}{space}qzvz then"):
+            assert m.score(text) <= 0
+        for text in (f"read the list.{space}you pathetic moron", f"you pathetic moron!{space}qzvw"):
+            assert m.score(text) > 0
+    assert all(abuse._RAW.fullmatch(c) for c in map(chr, range(0xAA, 0x110000)) if not c.isspace())
+
+
+def test_score_is_that_of_the_worst_segment():
+    base = abuse.base_model()
+    m = abuse.AbuseModel(base.kernel.landmarks, base.beta, base.bias)
+
+    def every(text):
+        total = lambda s: sum(m.raw[t] for t in abuse._RAW.findall(s))
+        m.learn(set(abuse._RAW.findall(text)))
+        sums, before = [0], None
+        for line in text.split("\n"):
+            sums += map(total, abuse._SENTENCE.split(line))
+            if '"' in line and sum(max(m.raw[t], 0) for t in abuse._RAW.findall(line)) + m.bias > abuse.THRESHOLD:
+                sums += map(total, abuse._QUOTE.split(line))
+            now = total(line) if abuse._COMMENT.match(line) and total(line) > 0 else None
+            sums += [before + now] if before and now else []
+            before = now
+        return max(sums) + m.bias
+
+    rng, parts = random.Random(8), [s for s, _ in abuse.made_sentences(3000)]
+    for _ in range(400):
+        lines = [rng.choice(["", "# ", "// ", "x = "]) + rng.choice(["{}", "{}", '"{}" + y', "z; {}"]).replace("{}", rng.choice([". ", "! ", " "]).join(rng.sample(parts, rng.randrange(1, 3)))) for _ in range(rng.randrange(1, 9))]
+        text = "\n".join(lines)
+        assert np.isclose(m.score(text), every(text), atol=1e-6), text
+
+
+def test_learning_a_word_does_not_pass_through_all_known():
+    base = abuse.base_model()
+
+    def seconds(known):
+        m = abuse.AbuseModel(base.kernel.landmarks, base.beta, base.bias)
+        m.raw.update((f"{k}", 0.0) for k in range(known))
+        m.words.update((f"{k}", 0.0) for k in range(known))
+        began = time.process_time()
+        for k in range(300):
+            m.score(f"value of new{chr(97 + k % 26)}{chr(97 + k // 26)}item")
+        return time.process_time() - began
+
+    seconds(0)
+    assert seconds(190_000) < 3 * seconds(0) + 0.1
+
+
+def test_tasks_of_a_job_share_what_they_learn():
+    base = abuse.base_model()
+    parts = (base.kernel.landmarks, base.beta, base.bias)
+    one_task = abuse.model_of(parts)
+    one_task.score("you pathetic moron")
+    assert abuse.model_of(parts) is one_task and "moron" in one_task.raw
+    other = abuse.model_of((*parts[:2], parts[2] - 1))
+    assert other is not one_task and other.bias == parts[2] - 1 and not other.raw
+    # a weight doesn't depend on the words that it is learnt with
+    alone, together = abuse.AbuseModel(*parts), abuse.AbuseModel(*parts)
+    words = [w for s, _ in abuse.made_sentences(3000) for w in abuse._RAW.findall(s)][:400]
+    together.learn(set(words))
+    for w in words:
+        alone.learn({w})
+    assert alone.raw == together.raw
+
+
 def test_score_documents(spark):
     docs = spark.createDataFrame([(1, "# you stupid worthless idiot", "a", 0), (2, "x = 1", "a", 0), (3, None, None, 0), (4, "", "b", 0), (1, "# you stupid worthless idiot", "a", 0)], "doc_id long, text string, source string, score int")
     labels = spark.createDataFrame([(1, "r", 5, 1), (2, "r", 5, 0), (2, "s", None, None), (None, "s", 1, 1)], "doc_id long, annotator string, quality int, toxic int")
