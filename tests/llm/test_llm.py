@@ -189,6 +189,21 @@ def test_bucket_links_join_all_alike_pairs(spark, monkeypatch, tile):
     assert sorted(one(joined, "node", "component")) == [(2, 2), (3, 2), (4, 4), (5, 4), (7, 2), (8, 2)]
 
 
+def test_pairs_joined_over_other_buckets_are_not_compared_again(spark, monkeypatch):
+    compared, plain = [], provenance.verified
+
+    def verified(pairs, marks):
+        compared.append(sorted(one(pairs, "a", "b")))
+        return plain(pairs, marks)
+
+    monkeypatch.setattr(provenance, "verified", verified)
+    sets = [(k, np.arange(2 * k, 2 * k + 100, dtype=np.uint32).tobytes()) for k in (1, 2, 3, 4)]
+    items = spark.createDataFrame([(1, 100, 0, 0, [7]), (2, 100, 0, 0, [7, 8]), (3, 100, 0, 0, [8, 9]), (4, 100, 0, 0, [9])], "item long, n int, print0 long, print1 long, keys array<long>")
+    table = spark.createDataFrame(sets, "item long, marks binary")
+    links = provenance.bucket_links(items, lambda named: table.join(named, "item", "left_semi"))
+    assert sorted(one(links, "a", "b")) == [(1, 2), (2, 3), (3, 4)] and compared == [[(1, 2), (2, 3), (3, 4)], []]
+
+
 def test_families_found_of_those_of_all_pairs(spark):
     """Recall of links within a repository against all pairs, for likeness near the threshold."""
     pick = random.Random(2)
